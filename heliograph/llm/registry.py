@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .jaccard import jaccard_groups
 from .lines import dedup_lines
 from .packing import pack
+from .quality import PROSE, STOP_WORDS, quality_report
 from .substrings import dedup_substrings
 
 
@@ -32,6 +33,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(_read(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_read(spark, sf_dir, "documents"), k=20, report=True)
 
@@ -40,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_packing": op2_packing,
     "op3_line_dedup": op3_line_dedup,
+    "op7_quality_rules": op7_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
@@ -70,4 +76,25 @@ kept as (
   select d.doc_id, len(words) as n_words, list_filter(words, lambda w, i: not list_contains(coalesce(places, []), i - 1)) as left_words
   from docs d left join gone g using (doc_id))
 select doc_id, n_words, n_words - len(left_words) as n_removed, sha256(array_to_string(left_words, ' ')) as kept_sha256 from kept""",
+    "op7_quality_rules": rf"""
+with docs as (
+  select doc_id, row_number() over () as row_id, coalesce(text, '') as text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '{_WS}+'), lambda w: w <> '') as words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '{_WORD}')) as lines from documents),
+windows as (
+  select row_id, s, array_to_string(words[s + 1 : s + 8], ' ') as seq
+  from (select row_id, words, unnest(range(len(words) - 7)) as s from docs)),
+twice as (select row_id, s from (select row_id, s, count(*) over (partition by row_id, seq) as c from windows) where c > 1),
+covered as (select row_id, count(distinct s + j) as n from twice, range(8) t(j) group by row_id),
+m as (
+  select doc_id, cast(len(words) as bigint) as n_words, cast(length(array_to_string(words, '')) as bigint) as word_chars,
+         cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+         cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words,
+         cast(len(lines) as bigint) as n_lines,
+         cast(len(list_filter(words, lambda w: w in ({", ".join(f"'{w}'" for w in STOP_WORDS)}))) as bigint) as n_stop,
+         cast(len(list_filter(lines, lambda l: regexp_matches(l, '^ *[-*•‣]'))) as bigint) as n_bullets
+  from docs left join covered c using (row_id)),
+j as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
+select *, not base_failed and {" and ".join(f"coalesce({r.value.replace(' / ', '::double / ')} between {r.low} and {r.high}, true)" for r in PROSE)} as kept
+from j""",
 }
