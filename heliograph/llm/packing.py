@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -98,11 +99,17 @@ class WordTokenizer:
         return np.add.reduceat(own, first + np.arange(len(n))), ids
 
 
+@cache
+def load(path: str) -> WordTokenizer:
+    """A worker's tokenizer of that file; its memory of words lasts over tasks."""
+    return WordTokenizer(path)
+
+
 def tokenize(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
     """(doc_id, part, start, n, ids): each document's ids, ended by ``end``, and where they start in their partition."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at, tokenizer = TaskContext.get().partitionId(), 0, WordTokenizer(path)
+        part, at, tokenizer = TaskContext.get().partitionId(), 0, load(path)
         for batch in batches:
             for rows in slices(batch, "text"):
                 counts, ids = tokenizer(texts(rows.column("text")), end)

@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import read_back, reconstruct, render
 from .jaccard import jaccard_groups
+from .licenses import scan_licenses
 from .lines import dedup_lines
+from .neighbours import nearest
 from .packing import pack
+from .pieces import decode_pieces, encode_pieces
 from .quality import PROSE, STOP_WORDS, quality_report
 from .substrings import dedup_substrings
+from .urls import judge_urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,10 +38,53 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+#: The rules that the query is asked for.
+URL_RULES = (
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(_read(spark, sf_dir, "pages"), rules)
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_read(spark, sf_dir, "documents"))
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    return nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_read(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    decoded = decode_pieces(encode_pieces(_read(spark, sf_dir, "documents"), path), path)
+    return decoded.select("doc_id", "n_ids", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    rows = rows.unionByName(more)
+    events = rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("long").alias("target"), "role", "text")
+    return read_back(render(reconstruct(events)))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_read(spark, sf_dir, "documents"), k=20, report=True)
 
@@ -45,7 +93,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_packing": op2_packing,
     "op3_line_dedup": op3_line_dedup,
+    "op4_url_filter": op4_url_filter,
+    "op5_license_scan": op5_license_scan,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_quality_rules": op7_quality_rules,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op9_chat_format": op9_chat_format,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
@@ -97,4 +150,26 @@ m as (
 j as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
 select *, not base_failed and {" and ".join(f"coalesce({r.value.replace(' / ', '::double / ')} between {r.low} and {r.high}, true)" for r in PROSE)} as kept
 from j""",
+    "op4_url_filter": rf"""
+with p as (
+  select page_id, row_number() over () as row_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') as path from pages),
+rules(h, p, v) as (values {", ".join(str(r) for r in URL_RULES)}),
+found as (
+  select row_id, h || p as rule, v, row_number() over (partition by row_id order by length(h) desc, length(p) desc, v) as r
+  from p join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, rules.p))
+select page_id, host, path, rule, coalesce(v, 'allow') as verdict from p left join found f on p.row_id = f.row_id and r = 1""",
+    "op9_chat_format": r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o as (
+  select *, row_number() over (partition by conv_id order by turn, role, text) as n,
+         len(regexp_extract_all(text, '<\|im_start\|>|<\|im_end\|>|<</?SYS>>|</?s>|\[/?INST\]')) as marks
+  from turns)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by n)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by n) filter (role = 'assistant'), '')) as loss_sha256,
+       cast(sum(length(role) + length(text) + marks + 12 + 1 + 12) as bigint) as formatted_chars
+from o group by conv_id""",
 }
