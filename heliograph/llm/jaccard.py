@@ -32,6 +32,8 @@ from .scratch import stash
 SKETCH_BITS = 20
 #: The sketch is summed in this many pieces.
 PIECES = 16
+#: Bits of a shingle's hash that are compared; the bits above order shingles by frequency, in sixteenths of an octave.
+HASH_BITS = 54
 #: Bits of the parity sketch of a set.
 PARITY_BITS = 512
 #: Bits of the Bloom filter that picks the documents to be compared in full, as a power of two.
@@ -106,8 +108,8 @@ def _sets(docs: DataFrame, width: int, percent: int, order: np.ndarray | None, f
 
     ``wanted`` is a Bloom filter of the names to keep.
     """
-    spark = docs.sparkContext if hasattr(docs, "sparkContext") else docs.sparkSession.sparkContext
-    rank = np.floor(np.log2(np.maximum(order, 1))).astype(np.uint64) << np.uint64(58)
+    spark = docs.sparkSession.sparkContext
+    rank = np.floor(16 * np.log2(np.maximum(order, 1))).astype(np.uint64) << np.uint64(HASH_BITS)
     shared = spark.broadcast((rank, wanted))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +119,7 @@ def _sets(docs: DataFrame, width: int, percent: int, order: np.ndarray | None, f
         for batch in batches:
             for part in slices(batch, "text"):
                 counts, grams = shingles(part.column("text"), width)
-                tokens = rank[_buckets(grams)] | (grams & np.uint64((1 << 58) - 1))
+                tokens = rank[_buckets(grams)] | (grams & np.uint64((1 << HASH_BITS) - 1))
                 at = starts(counts)
                 out = ([], [], [], [], [])
                 for i, doc in enumerate(part.column("doc_id").to_pylist()):
@@ -235,7 +237,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     Words are split at ASCII white space, with A-Z lower-cased. Null, empty and blank texts have no shingles, link with
     nothing and are their own component. Repeated rows are equal sets and so linked. Rows with a null doc_id take part,
     but name no component unless nothing else could (then it is null). An empty table gives no rows.
-    Shingles are compared by 58 bits of a hash, and sets are named by 64.
+    Shingles are compared by 54 bits of a hash, and sets are named by 64.
     """
     order = _frequencies(docs, width)
     every = stash(_sets(docs, width, percent, order, False), "shingled")
