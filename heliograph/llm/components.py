@@ -37,4 +37,5 @@ def connected(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import mix, slices, starts, texts
+from .columns import fresh, mix, slices, starts, texts
 from .scratch import stash
 
 #: Shards of the exact table; each has a filter of its own.
@@ -236,21 +236,23 @@ def _join_lines(docs: DataFrame, keys: DataFrame, report: bool) -> DataFrame:
 
     Documents are named by a hash of id and text; equal rows lose equal lines.
     """
-    docs = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    name, lost_lines = fresh(docs, "__row"), fresh(docs, "__gone")
+    kept_schema = docs.schema
+    docs = docs.withColumn(name, F.xxhash64("doc_id", "text"))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 lines, _, pairs = split_lines(part.column("text"))
                 number = np.arange(len(pairs)) - np.repeat(starts(lines)[:-1], lines)
-                row = np.repeat(part.column("__row").to_numpy(), lines)
+                row = np.repeat(part.column("row").to_numpy(), lines)
                 full = pairs.any(axis=1)
-                yield pa.record_batch({"__row": pa.array(row[full]), "number": pa.array(number[full]), "k1": pa.array(pairs[full, 0]), "k2": pa.array(pairs[full, 1])})
+                yield pa.record_batch({"row": pa.array(row[full]), "number": pa.array(number[full]), "k1": pa.array(pairs[full, 0]), "k2": pa.array(pairs[full, 1])})
 
-    lines = docs.select("__row", "text").mapInArrow(explode, "__row long, number long, k1 long, k2 long")
-    gone = lines.join(keys, ["k1", "k2"], "left_semi").groupBy("__row").agg(F.collect_set("number").alias("__gone"))
-    both = docs.join(gone, "__row", "left").drop("__row")
-    schema = "doc_id long, text string, n_lines long, n_dropped long" if report else docs.drop("__row").schema
+    lines = docs.select(F.col(name).alias("row"), "text").mapInArrow(explode, "row long, number long, k1 long, k2 long")
+    gone = lines.join(keys, ["k1", "k2"], "left_semi").groupBy(F.col("row").alias(name)).agg(F.collect_set("number").alias(lost_lines))
+    both = docs.join(gone, name, "left").drop(name)
+    schema = "doc_id long, text string, n_lines long, n_dropped long" if report else kept_schema
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,9 +260,9 @@ def _join_lines(docs: DataFrame, keys: DataFrame, report: bool) -> DataFrame:
                 lists = pc.split_pattern(texts(part.column("text")), "\n")
                 counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 dropped = np.zeros(int(counts.sum()), bool)
-                for first, gone in zip(starts(counts)[:-1], part.column("__gone").to_pylist(), strict=True):
+                for first, gone in zip(starts(counts)[:-1], part.column(lost_lines).to_pylist(), strict=True):
                     dropped[[first + g for g in gone or ()]] = True
-                part = part.drop_columns(["__gone"])
+                part = part.drop_columns([lost_lines])
                 text, lost = _rewrite(part, dropped, counts, lists.flatten())
                 yield _result(part, text, counts, lost, report)
 

@@ -113,7 +113,7 @@ def _unit(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     column = table.column("v")
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])  # a power of two: nothing is rounded
     return x, np.sqrt((x * x).sum(axis=1))
 
 
@@ -155,7 +155,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLO
                     if len(found) >= want or reach >= BITS:
                         break
                     reach += 4
-                score = (xc[found] @ xq[i]) / (nc[found] * nq[i])
+                score = (xc[found] * xq[i]).sum(axis=1) / (nc[found] * nq[i])  # row by row: equal vectors have equal scores
                 best = np.lexsort((ids[found], -score))[:k]
                 out[0].append(np.full(len(best), name))
                 out[1].append(ids[found[best]])

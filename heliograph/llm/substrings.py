@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import coded, hashes, mix, slices, starts, words
+from .columns import coded, fresh, hashes, mix, slices, starts, words
 from .lines import sha256
 
 #: Words of a run whose hash may be the minimiser; k - m + 1 runs lie in a window.
@@ -244,10 +244,12 @@ def dedup_substrings(docs: DataFrame, k: int = 20, report: bool = False) -> Data
     rows of equal doc_id and other text are ordered by a hash of it. Other columns, whatever their names, pass through;
     an empty table gives no rows.
     """
-    docs = (docs.select("doc_id", "text") if report else docs).withColumn("__row", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(docs.select(F.col("doc_id").cast("long"), F.col("__row").alias("row"), "text"), k)
-    both = docs.join(spans.select(F.col("row").alias("__row"), F.col("spans").alias("__spans")), "__row", "left").drop("__row")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" if report else docs.drop("__row").schema
+    docs = docs.select("doc_id", "text") if report else docs
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" if report else docs.schema
+    row, found = fresh(docs, "__row"), fresh(docs, "__spans")
+    docs = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    spans = repeated_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"), "text"), k)
+    both = docs.join(spans.select(F.col("row").alias(row), F.col("spans").alias(found)), row, "left").drop(row)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,7 +258,7 @@ def dedup_substrings(docs: DataFrame, k: int = 20, report: bool = False) -> Data
                 at = starts(counts)
                 change = np.zeros(len(flat) + 1, np.int64)
                 touched = np.zeros(len(counts), bool)
-                for i, spans in enumerate(part.column("__spans").to_pylist()):
+                for i, spans in enumerate(part.column(found).to_pylist()):
                     if spans:
                         both = np.frombuffer(b"".join(spans), np.int32).reshape(-1, 2).astype(np.int64)
                         np.add.at(change, at[i] + both[:, 0], 1)
@@ -268,7 +270,7 @@ def dedup_substrings(docs: DataFrame, k: int = 20, report: bool = False) -> Data
                 if report:
                     yield pa.record_batch({"doc_id": part.column("doc_id"), "n_words": pa.array(counts), "n_removed": pa.array(counts - left), "kept_sha256": sha256(kept)})
                 else:
-                    part = part.drop_columns(["__spans"])
+                    part = part.drop_columns([found])
                     i = part.schema.get_field_index("text")
                     text = pc.if_else(pa.array(touched), kept, part.column(i))
                     yield pa.record_batch([text if j == i else c for j, c in enumerate(part.columns)], schema=part.schema)
