@@ -36,7 +36,7 @@ PIECES = 16
 HASH_BITS = 54
 #: Bits of the parity sketch of a set.
 PARITY_BITS = 512
-#: Bits of the Bloom filter that picks the documents to be compared in full, as a power of two.
+#: Bits of the Bloom filters that pick lists with two entries or more, and documents to be compared in full, as a power of two.
 BLOOM_BITS = 26
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -243,20 +243,28 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     every = stash(_sets(docs, width, percent, order, False), "shingled")
     sets = stash(every.where("sid is not null").groupBy("sid").agg(F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("parity").alias("parity")), "distinct")
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("tokens").to_pylist()
-            counts = np.array([len(x) // 8 for x in lists], np.int64)
-            pos = np.arange(counts.sum()) - np.repeat(starts(counts)[:-1], counts)
-            yield pa.record_batch({
-                "token": pa.array(np.frombuffer(b"".join(lists), np.int64)), "pos": pa.array(pos.astype(np.int32)),
-                "sid": pa.array(np.repeat(batch.column("sid").to_numpy(), counts)), "n": pa.array(np.repeat(batch.column("n_shingles").to_numpy(), counts).astype(np.int32)),
-            })
-
-    index = sets.select("sid", "n_shingles", "tokens").mapInArrow(entries, "token long, pos int, sid long, n int")
-    heads = index.groupBy("token").agg(F.count("*").alias("many"), F.min(F.struct("pos", "sid", "n")).alias("head")).where("many > 1")
-    heads = heads.select("token", F.col("head.pos").alias("h_pos"), F.col("head.sid").alias("h_sid"), F.col("head.n").alias("h_n"))
-    lists = stash(index.join(heads, "token"), "lists")
+    def index(bloom: np.ndarray | None) -> DataFrame:
+        """The entries of all lists; of those in the filter only, if there is one."""
+        shared = docs.sparkSession.sparkContext.broadcast(bloom)
+
+        def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column("tokens").to_pylist()
+                counts = np.array([len(x) // 8 for x in lists], np.int64)
+                token = np.frombuffer(b"".join(lists), np.int64)
+                keep = np.ones(len(token), bool) if shared.value is None else _has(shared.value, token)
+                pos = np.arange(counts.sum()) - np.repeat(starts(counts)[:-1], counts)
+                yield pa.record_batch({
+                    "token": pa.array(token[keep]), "pos": pa.array(pos[keep].astype(np.int32)),
+                    "sid": pa.array(np.repeat(batch.column("sid").to_numpy(), counts)[keep]), "n": pa.array(np.repeat(batch.column("n_shingles").to_numpy(), counts)[keep].astype(np.int32)),
+                })
+
+        return sets.select("sid", "n_shingles", "tokens").mapInArrow(entries, "token long, pos int, sid long, n int")
+
+    heads = index(None).groupBy("token").agg(F.count("*").alias("many"), F.min(F.struct("pos", "sid", "n")).alias("head")).where("many > 1")
+    heads = stash(heads.select("token", F.col("head.pos").alias("h_pos"), F.col("head.sid").alias("h_sid"), F.col("head.n").alias("h_n")), "heads")
+    # Most shingles stand in one list only; the filter keeps nearly all of those from travelling a second time.
+    lists = stash(index(_bloom(heads.select("token"))).join(heads, "token"), "lists")
     first = lists.where("sid <> h_sid and " + _reach(percent, "n", "pos", "h_n", "h_pos"))
     first = first.select(F.col("sid").alias("a"), F.col("h_sid").alias("b")).distinct()
     links = stash(_links(first, docs, sets, width, percent, order), "answered")
