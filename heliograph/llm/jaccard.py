@@ -34,7 +34,7 @@ SKETCH_BITS = 20
 PIECES = 16
 #: Bits of a shingle's hash that are compared; the bits above order shingles by frequency, in sixteenths of an octave.
 HASH_BITS = 54
-#: Bits of the parity sketch of a set.
+#: Bits of the parity sketch of a set, at least; large sets have about one for each two shingles.
 PARITY_BITS = 512
 #: Bits of the Bloom filters that pick lists with two entries or more, and documents to be compared in full, as a power of two.
 BLOOM_BITS = 26
@@ -139,7 +139,8 @@ def _sets(docs: DataFrame, width: int, percent: int, order: np.ndarray | None, f
                         values = (doc, len(own), int(name), own.tobytes(), None)
                     else:
                         prefix = own[: len(own) - (percent * len(own) + 99) // 100 + 1]
-                        bits = np.bincount((mix(own) >> np.uint64(55)).astype(np.int64), minlength=PARITY_BITS) & 1
+                        size = max(PARITY_BITS, 1 << (len(own) // 2).bit_length())
+                        bits = np.bincount((mix(own) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
                         values = (doc, len(own), int(name), prefix.tobytes(), np.packbits(bits.astype(np.uint8)).tobytes())
                     for column, value in zip(out, values, strict=True):
                         column.append(value)
@@ -195,6 +196,16 @@ def _reach(percent: int, n: str, i: str, m: str, j: str) -> str:
     return f"least({n} - {i}, {m} - {j}) * {100 + percent}L >= {percent}L * ({n} + {m})"
 
 
+def _apart(p: bytes, q: bytes) -> int:
+    """Hamming distance of two parity sketches; the longer one is folded, half upon half, to the other's length."""
+    x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int, order: np.ndarray) -> DataFrame:
     """Those of the pairs (a, b) of names that do link: parity sketches first, whole sets then."""
     parity = sets.select("sid", "n_shingles", "parity")
@@ -204,8 +215,7 @@ def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, perce
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("p_a", "p_b")]
-                apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1).astype(np.int64)
+                apart = np.fromiter(map(_apart, batch.column("p_a").to_pylist(), batch.column("p_b").to_pylist()), np.int64, batch.num_rows)
                 total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
                 yield batch.select(["a", "b"]).filter(pa.array(apart <= total - 2 * _overlap(percent, total)))
 

@@ -369,3 +369,16 @@ def test_pipeline(spark):
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     full = out.groupBy("sequence_id").agg(F.sum("length").alias("n"))
     assert full.where("n <> 1024").count() <= 1 and out.select("doc_id").distinct().count() <= kept.count()
+
+
+def test_parity_sketches_of_unlike_length():
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 2**54, 5000).astype(np.uint64)
+
+    def sketch(x, size):
+        bits = np.bincount((jaccard.mix(x) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+        return np.packbits(bits.astype(np.uint8)).tobytes()
+
+    for small in (512, 1024, 4096):
+        assert jaccard._apart(sketch(a, small), sketch(a, 8192)) == 0
+        assert jaccard._apart(sketch(a[7:], small), sketch(a, 8192)) <= 7
