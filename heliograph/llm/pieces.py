@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from .columns import slices, starts, texts
 
 MARK = "▁"
-#: Words, and pairs of pieces, that a worker remembers.
-CACHE_WORDS, CACHE_PAIRS = 400_000, 1_000_000
+#: Pairs of pieces that a worker remembers.
+CACHE_PAIRS = 400_000
 
 #: Text whose distinct words are walked together.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
 
 
 class PieceModel:
@@ -60,10 +60,11 @@ class PieceModel:
         if any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("pieces that reach over a blank aren't supported")
         #: Ends of pieces: nothing longer can be a piece where none of these stands.
-        self.tails = {p[i:] for p in self.score for i in range(len(p))}
+        self.tails = set() if self.bpe else {p[i:] for p in self.score for i in range(len(p))}
         self.floor = min(self.score.values()) - 10
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.cache: dict[str, bytes] = {}
+        #: One string object for each piece, which all pairs share.
+        self.own = {p: p for p in self.score}
 
     def merged(self, text: str) -> list[str]:
         """Merges by rank, from the left: the plain way, for pairs of pieces."""
@@ -82,7 +83,7 @@ class PieceModel:
         """Whether the boundary between two pieces stays when both are merged."""
         if len(self.pairs) >= CACHE_PAIRS:
             self.pairs.clear()
-        out = self.pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+        out = self.pairs[self.own.get(a, a), self.own.get(b, b)] = self.merged(a + b) == ([a, b] if a else [b])
         return out
 
     def walk(self, words: list[str]) -> Iterator[list[str]]:
@@ -134,13 +135,9 @@ class PieceModel:
 
     def table(self, words: list[str]) -> list[bytes]:
         """Ids, as 32-bit numbers, of distinct words."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = sorted(w for w in words if w not in self.cache)
+        new = sorted(words)
         found = dict(zip(new, map(self.ids, self.walk(new)), strict=True))
-        out = [found[w] if w in found else self.cache[w] for w in words]
-        self.cache.update((w, v) for w, v in found.items() if len(w) < 24)
-        return out
+        return [found[w] for w in words]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts without nulls: their number for each text, and all of them."""
