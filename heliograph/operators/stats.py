@@ -61,3 +61,11 @@ def approximate(df: DataFrame, by: list[str], column: str) -> DataFrame:
         F.hll_sketch_estimate(F.hll_sketch_agg(F.col(column).cast("string"), 16)).alias("distinct"), F.min(column).alias("min"), F.max(column).alias("max"),
         F.avg(column).alias("mean"), F.stddev_pop(column).alias("stddev"), F.percentile_approx(column, [0.5, 0.99], 10_000).alias("quantiles"),
     )
+
+
+def by_cardinality(df: DataFrame, columns: list[str]) -> list[str]:
+    """The columns by ascending number of distinct values, ties as given; one row of counts comes to the driver."""
+    if not columns:
+        return []
+    counts = df.agg(*[F.countDistinct(c).alias(str(i)) for i, c in enumerate(columns)]).first()
+    return [columns[i] for i in sorted(range(len(columns)), key=lambda i: (counts[i], i))]

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from heliograph.plans.queries import ORACLES, QUERIES
+from heliograph.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
