@@ -19,14 +19,15 @@ RESOURCE, SCOPE = f"struct<attributes:{ATTRS},dropped:bigint>", f"struct<name:st
 TRACES = f"array<struct<resource:{RESOURCE},schema_url:string,scope_spans:array<struct<scope:{SCOPE},schema_url:string,spans:array<{SPAN}>>>>>"
 
 
-def flatten(batches: DataFrame, data: str = "traces") -> DataFrame:
+def flatten(batches: DataFrame, data: str = "traces", scopes: str = "scope_spans", items: str = "spans", item: str = "span") -> DataFrame:
     """One row for each span of ``batches(batch_id, traces)``: places r, s, i and the resource, scope and span.
 
-    Resources without scopes and scopes without spans keep a row with a null span.
+    Resources without scopes and scopes without spans keep a row with a null span. The other names are those of the
+    lists of another signal, such as metrics.
     """
     r = batches.select("batch_id", F.posexplode_outer(data).alias("r", "rs"))
-    s = r.select("batch_id", "r", F.col("rs.resource").alias("resource"), F.col("rs.schema_url").alias("resource_url"), F.posexplode_outer("rs.scope_spans").alias("s", "ss"))
-    return s.select("batch_id", "r", "s", "resource", "resource_url", F.col("ss.scope").alias("scope"), F.col("ss.schema_url").alias("scope_url"), F.posexplode_outer("ss.spans").alias("i", "span"))
+    s = r.select("batch_id", "r", F.col("rs.resource").alias("resource"), F.col("rs.schema_url").alias("resource_url"), F.posexplode_outer(f"rs.{scopes}").alias("s", "ss"))
+    return s.select("batch_id", "r", "s", "resource", "resource_url", F.col("ss.scope").alias("scope"), F.col("ss.schema_url").alias("scope_url"), F.posexplode_outer(f"ss.{items}").alias("i", item))
 
 
 def tables(flat: DataFrame) -> dict[str, DataFrame]:
@@ -46,10 +47,15 @@ def tables(flat: DataFrame) -> dict[str, DataFrame]:
         "event_attrs": rows(events, [*own, "n"], "e.attributes"),
         "links": links.select(*own, "n", "l.trace_id", "l.span_id", "l.trace_state"),
         "link_attrs": rows(links, [*own, "n"], "l.attributes"),
-        "scopes": flat.select("batch_id", "r", "s", "resource", "resource_url", "scope", "scope_url").dropDuplicates(["batch_id", "r", "s"]),
+        "scopes": scopes_of(flat),
     }
 
 
+def scopes_of(flat: DataFrame) -> DataFrame:
+    """One row for each scope of a batch, and for each resource without scopes."""
+    return flat.select("batch_id", "r", "s", "resource", "resource_url", "scope", "scope_url").dropDuplicates(["batch_id", "r", "s"])
+
+
 def _maps(attrs: DataFrame, ids: list[str]) -> DataFrame:
     pair = F.struct("key", F.struct("type", "str", "int", "double", "bool").alias("value"))
     return attrs.groupBy(*ids).agg(F.map_from_entries(F.array_sort(F.collect_list(pair))).alias("attributes"))
@@ -74,14 +80,19 @@ def renest(t: dict[str, DataFrame]) -> DataFrame:
         F.coalesce("events", F.array().cast(f"array<struct<time_ns:bigint,name:string,attributes:{ATTRS}>>")).alias("events"),
         F.coalesce("links", F.array().cast(f"array<struct<trace_id:binary,span_id:binary,trace_state:string,attributes:{ATTRS}>>")).alias("links"), "status",
     )
+    return renest_scopes(spans.select("batch_id", "r", "s", "i", span.alias("span")), t["scopes"], SPAN, "traces", "scope_spans", "spans", "span")
+
+
+def renest_scopes(rows: DataFrame, scopes: DataFrame, kind: str, data: str, of_scopes: str, items: str, item: str) -> DataFrame:
+    """Batches (batch_id, ``data``) of the items in ``rows(batch_id, r, s, i, item)``, under their scopes and resources."""
     in_order = lambda rows, at: F.array_sort(rows, lambda a, b: a[at] - b[at])
-    scopes = spans.select("batch_id", "r", "s", F.struct("i", span.alias("span")).alias("c")).groupBy("batch_id", "r", "s").agg(F.transform(in_order(F.collect_list("c"), "i"), lambda c: c["span"]).alias("spans"))
-    scopes = t["scopes"].join(scopes, ["batch_id", "r", "s"], "left")
-    scope = F.struct("scope", F.col("scope_url").alias("schema_url"), F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
-    resources = scopes.groupBy("batch_id", "r").agg(
+    lists = rows.select("batch_id", "r", "s", F.struct("i", item).alias("c")).groupBy("batch_id", "r", "s").agg(F.transform(in_order(F.collect_list("c"), "i"), lambda c: c[item]).alias(items))
+    full = scopes.join(lists, ["batch_id", "r", "s"], "left")
+    scope = F.struct("scope", F.col("scope_url").alias("schema_url"), F.coalesce(items, F.array().cast(f"array<{kind}>")).alias(items))
+    resources = full.groupBy("batch_id", "r").agg(
         F.min_by("resource", "s").alias("resource"), F.min_by("resource_url", "s").alias("schema_url"),
         F.array_sort(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("s", scope.alias("x")))), lambda a, b: a["s"] - b["s"]).alias("c"),
     )
-    resource = F.struct("r", F.struct(F.col("resource"), F.col("schema_url"), F.transform("c", lambda c: c["x"]).alias("scope_spans")).alias("x"))
+    resource = F.struct("r", F.struct(F.col("resource"), F.col("schema_url"), F.transform("c", lambda c: c["x"]).alias(of_scopes)).alias("x"))
     out = resources.select("batch_id", F.when(F.col("r").isNotNull(), resource).alias("c")).groupBy("batch_id").agg(in_order(F.collect_list("c"), "r").alias("c"))
-    return out.select("batch_id", F.transform("c", lambda c: c["x"]).alias("traces"))
+    return out.select("batch_id", F.transform("c", lambda c: c["x"]).alias(data))

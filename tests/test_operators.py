@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from heliograph.functions import cbor
 from heliograph.functions.scalars import _cipher, _decipher, data_point_signature, obfuscate, reveal
-from heliograph.operators import attributes, codec, compare, nesting, stats
+from heliograph.operators import attributes, codec, compare, metrics, nesting, stats
+from heliograph.sources import ipc
 from heliograph.sources.files import FileConfig, read_chunks, read_csv_logs, read_json_lines, write_json_lines
 
 
@@ -146,3 +147,30 @@ def test_csv_logs(spark, tmp_path):
     a, b = read_csv_logs(spark, str(tmp_path / "l.csv")).orderBy("time_ns").collect()
     assert (a.severity_number, b.severity_number, a.host_name) == (9, 17, "host")
     assert a.attributes["status"].int == 200 and a.attributes["duration"].double == 1.5 and a.attributes["valid"].bool is True and "method" not in b.attributes
+
+
+def test_metric_nesting_round_trip(spark):
+    head = {"start_ns": 1, "time_ns": 2, "flags": 0, "attributes": {"a": _value(int=1)}}
+    exemplar = {"time_ns": 3, "int": None, "double": 1.5, "trace_id": b"t" * 16, "span_id": None, "attributes": {}}
+    number = head | {"int": 7, "double": None, "exemplars": [exemplar, exemplar | {"time_ns": 1}]}
+    summary = head | {"count": 2, "sum": 3.0, "quantiles": [{"quantile": 0.5, "value": 1.0}]}
+    histogram = head | {"count": 2, "sum": 3.0, "min": None, "max": 2.0, "bounds": [1.0], "counts": [1, 1], "exemplars": []}
+    exponential = head | {"count": 2, "sum": None, "min": None, "max": 2.0, "scale": 1, "zero_count": 0, "positive": {"offset": -1, "counts": [2]}, "negative": None, "exemplars": [exemplar]}
+    bare = {"name": "m", "description": "", "unit": "s", "type": 1, "temporality": 0, "monotonic": None, "numbers": [], "summaries": [], "histograms": [], "exp_histograms": []}
+    listed = [bare | {"numbers": [number, number | {"exemplars": []}]}, bare | {"summaries": [summary]}, bare | {"histograms": [histogram], "exp_histograms": [exponential]}, bare]
+    scope = {"name": "g", "version": "1", "attributes": {}, "dropped": 0}
+    resource = {"resource": {"attributes": {"h": _value(str="x")}, "dropped": 1}, "schema_url": "u", "scope_metrics": [{"scope": scope, "schema_url": "", "metrics": listed}, {"scope": None, "schema_url": "", "metrics": []}]}
+    df = spark.createDataFrame([(0, [resource]), (1, []), (2, [resource, resource])], f"batch_id long, metrics {metrics.METRICS}")
+    show = lambda d: sorted((r.batch_id, json.dumps(r.asDict(recursive=True)["metrics"], default=str)) for r in d.collect())
+    assert show(metrics.renest(metrics.tables(df))) == show(df)
+
+
+@pytest.mark.parametrize("dictionaries", [True, False])
+def test_ipc_payloads(spark, dictionaries):
+    df = spark.createDataFrame([(1, "a", 1.5), (1, None, None), (2, "a", 2.5), (None, "x", 0.0)], "batch_id long, name string, v double")
+    payloads = ipc.to_payloads(df.coalesce(1), dictionaries=dictionaries)
+    assert sorted((r.batch_id, r.n_rows) for r in payloads.collect()) == [(1, 2), (2, 1)]
+    back = ipc.from_payloads(payloads, "v double, name string, more long")
+    assert back.columns == ["batch_id", "v", "name", "more"] and back.where("more is not null").isEmpty()
+    assert compare.equivalent(back.select(df.columns), df.where("batch_id is not null"), strict=True)
+    assert ipc.to_payloads(df.limit(0)).isEmpty()
