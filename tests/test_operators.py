@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from heliograph.functions import cbor
 from heliograph.functions.scalars import _cipher, _decipher, data_point_signature, obfuscate, reveal
 from heliograph.operators import attributes, codec, compare, metrics, nesting, stats
-from heliograph.sources import ipc
+from heliograph.sources import generate, ipc
 from heliograph.sources.files import FileConfig, read_chunks, read_csv_logs, read_json_lines, write_json_lines
 
 
@@ -174,3 +174,17 @@ def test_ipc_payloads(spark, dictionaries):
     assert back.columns == ["batch_id", "v", "name", "more"] and back.where("more is not null").isEmpty()
     assert compare.equivalent(back.select(df.columns), df.where("batch_id is not null"), strict=True)
     assert ipc.to_payloads(df.limit(0)).isEmpty()
+
+
+def test_generated_batches(spark):
+    a, b = (generate.generate_traces(spark, 3, 4, seed) for seed in (1, 1))
+    assert compare.equivalent(a.select(F.to_json("traces")), b.select(F.to_json("traces")), strict=True)
+    t = nesting.tables(nesting.flatten(a))
+    assert t["spans"].count() == 3 * 4 * 3 and t["spans"].where("octet_length(trace_id) <> 16 or octet_length(span_id) <> 8 or duration_ns < 0").isEmpty()
+    events = [r["count"] for r in t["events"].groupBy("batch_id", "r", "s", "i").count().collect()]
+    assert len(events) == 36 and min(events) >= 2 and max(events) <= 9
+    logs = generate.generate_logs(spark, 2, 10, 3)
+    assert [r.severity_text for r in logs.where("batch_id = 0").orderBy("id").limit(4).collect()] == list(generate.LEVELS)
+    points = generate.generate_points(spark, 5, 6, 3)
+    assert points.count() == 30 and points.where("(kind = 'gauge') <> (double is not null) or (kind = 'sum') <> (int is not null)").isEmpty()
+    assert generate.generate_logs(spark, 0, 10).isEmpty() and nesting.tables(nesting.flatten(generate.generate_traces(spark, 1, 0)))["spans"].isEmpty()
