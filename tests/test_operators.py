@@ -1,5 +1,6 @@
 import json
 import math
+import os
 import struct
 
 import pytest
@@ -13,6 +14,7 @@ from heliograph.functions.scalars import _cipher, _decipher, data_point_signatur
 from heliograph.operators import attributes, codec, compare, metrics, nesting, stats
 from heliograph.sources import generate, ipc
 from heliograph.sources.files import FileConfig, read_chunks, read_csv_logs, read_json_lines, write_json_lines
+from heliograph.streaming import replay
 
 
 def test_group_delta_round_trip(spark):
@@ -188,3 +190,27 @@ def test_generated_batches(spark):
     points = generate.generate_points(spark, 5, 6, 3)
     assert points.count() == 30 and points.where("(kind = 'gauge') <> (double is not null) or (kind = 'sum') <> (int is not null)").isEmpty()
     assert generate.generate_logs(spark, 0, 10).isEmpty() and nesting.tables(nesting.flatten(generate.generate_traces(spark, 1, 0)))["spans"].isEmpty()
+
+
+def test_replay_keeps_the_pace(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i, ts in enumerate((10, 30, 20, 25)):
+        (tmp_path / "in" / f"{i}.json").write_text(json.dumps({"ts": ts * 10**9, "i": i}) + "\n")
+        os.utime(tmp_path / "in" / f"{i}.json", (i + 1, i + 1))
+    waits, seen = [], []
+    stream = replay.json_stream(spark, str(tmp_path / "in"), "ts long, i long", 1)
+    query = replay.replay(stream, "ts", 0.5, lambda df, _: seen.extend(r.i for r in df.collect()), str(tmp_path / "c"), waits.append)
+    assert query.awaitTermination(60) and query.exception() is None
+    assert seen == [0, 1, 2, 3] and waits == [10, 0, 2.5]
+    with pytest.raises(ValueError):
+        replay.replay(stream, "ts", -1, print, "c")
+
+
+def test_fan_out(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("".join(json.dumps({"id": i}) + "\n" for i in range(10)))
+    got = {"x": [], "y": []}
+    sinks = {n: (lambda df, _, n=n: got[n].extend(r.id for r in df.collect())) for n in got}
+    query = replay.fan_out(replay.json_stream(spark, str(tmp_path / "in"), "id long"), {"x": 1, "y": 4}, "id", sinks, str(tmp_path / "c"))
+    assert query.awaitTermination(60) and query.exception() is None
+    assert sorted(got["x"]) == [0, 5] and len(got["y"]) == 8
