@@ -6,24 +6,67 @@ rest is NumPy, so the cost per word is a few nanoseconds and Python only sees di
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Text handled at once, in bytes; a longer single document is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of a batch that Spark hands to a Python worker; a longer single row is a batch of its own.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` doesn't have, whatever the case of letters."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name += "_"
-    return name
+def release() -> None:
+    """Gives freed memory back, so that a worker that waits for its next task doesn't hold its peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with bounded memory: batches are limited by their bytes (as a setting of the session, unless that is
+    smaller already) and not only by their rows, and freed memory is given back when a task ends."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF, None) in (None, "67108864", "64MB"):  # the default
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with columns named by their places, and the names that doc_id and text have then.
+
+    Names are looked for as written first, then whatever the case of their letters; no column can clash with another.
+    """
+    own = [f"c{i}" for i in range(len(docs.columns))]
+
+    def place(name: str) -> str:
+        found = [i for i, c in enumerate(docs.columns) if c == name] or [i for i, c in enumerate(docs.columns) if c.lower() == name]
+        if not found:
+            raise ValueError(f"no column {name}")
+        return own[found[0]]
+
+    return docs.toDF(*own), place("doc_id"), place("text")
+
+
+def documents(docs: DataFrame) -> DataFrame:
+    """Only doc_id, as a long, and text, as a string; an integer doc_id may have any width."""
+    df, key, text = numbered(docs)
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -80,9 +123,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def hashes(dictionary: pa.Array, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each string."""
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w, seed) for w in dictionary.to_pylist()), np.uint64, len(dictionary))
+    """A 64-bit hash of each string, straight from the array's buffers."""
+    if not len(dictionary):
+        return np.zeros(0, np.uint64)
+    kind = np.int64 if pa.types.is_large_string(dictionary.type) else np.int32
+    ends = np.frombuffer(dictionary.buffers()[1], kind)[dictionary.offset : dictionary.offset + len(dictionary) + 1].tolist()
+    data, digest = memoryview(dictionary.buffers()[2] or b""), xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(data[a:b], seed) for a, b in zip(ends[:-1], ends[1:], strict=True)), np.uint64, len(dictionary))
 
 
 def starts(counts: np.ndarray) -> np.ndarray:

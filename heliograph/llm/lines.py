@@ -1,33 +1,38 @@
 """Operator 3: reversible line deduplication with exact reference counts and sharded cuckoo filters.
 
 The exact state is a table of reference counts: for each line key (128-bit hash) the number of documents that hold it.
-Inserting documents adds their keys, deleting documents takes them away, so the state after a deletion is the state in
-which the document never was. For each shard of that table a cuckoo filter holds the keys that are to be dropped; it
-takes insertions and deletions too, and answers most lines without a look at the table. A line that a filter knows is
-looked up exactly, so a false positive never drops a line.
+For each shard of that table a cuckoo filter holds the keys that are to be dropped. Inserting or deleting documents
+changes the counts, and the keys that thereby reach the threshold or fall below it are inserted into their shard's
+filter or deleted from it, so the state after a deletion is the state in which the document never was.
 
-Filters and keys are broadcast while there are at most ``bound`` keys; beyond that, lines meet the table in a join.
+A line that a filter knows is looked up in the shard's exact keys, so a false positive never drops a line. Filters and
+keys are broadcast while there are at most ``bound`` keys; beyond that they stay where their shard is, and lines travel
+to them, hot shards being dealt out by salts.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .columns import fresh, mix, slices, starts, texts
+from .columns import arrow_map, documents, mix, numbered, slices, starts, texts
 from .scratch import stash
 
-#: Shards of the exact table; each has a filter of its own.
+#: Shards of the exact table; each has a filter of its own, and its keys have to fit in a task.
 SHARDS = 64
 #: Keys that may be broadcast: 16 bytes each, and about 4 in the filters.
 BROADCAST_KEYS = 2_000_000
+#: Ways that lines of one shard are dealt out, where they travel to it.
+SALTS = 16
 BLANK = " \t\n\v\f\r"
 
 
@@ -60,11 +65,15 @@ class CuckooFilter:
     def tobytes(self) -> bytes:
         return self.table.tobytes()
 
-    def _place(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h = np.asarray(h, np.uint64)
+    @staticmethod
+    def places(h: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Fingerprints and both buckets of hashes; ``mask`` is the number of buckets less one."""
         mark = ((h >> np.uint64(48)) | np.uint64(1)).astype(np.uint16)
-        one = (h & np.uint64(self.buckets - 1)).astype(np.int64)
-        return mark, one, self._other(one, mark)
+        one = h & mask
+        return mark, one.astype(np.int64), (one ^ (mix(mark.astype(np.uint64)) & mask)).astype(np.int64)
+
+    def _place(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.places(np.asarray(h, np.uint64), np.uint64(self.buckets - 1))
 
     def _other(self, bucket: np.ndarray, mark: np.ndarray) -> np.ndarray:
         return bucket ^ (mix(np.asarray(mark, np.uint64)) & np.uint64(self.buckets - 1)).astype(np.int64)
@@ -115,7 +124,8 @@ def split_lines(array: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 
 def count_references(docs: DataFrame) -> DataFrame:
-    """The reference counts of ``docs``: (k1, k2, n), n being the number of rows of ``docs`` with a line of that key."""
+    """The reference counts of ``docs(doc_id, text, ...)``: (k1, k2, n), n being the number of its rows with a line of that
+    key. Null and empty texts and blank lines have no key; repeated rows count each for itself; an empty table has no rows."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,143 +140,200 @@ def count_references(docs: DataFrame) -> DataFrame:
                 new[1:] = (doc[1:] != doc[:-1]) | (pairs[1:] != pairs[:-1]).any(axis=1)
                 yield pa.record_batch({"k1": pa.array(pairs[new, 0]), "k2": pa.array(pairs[new, 1])})
 
-    return docs.select("text").mapInArrow(keys, "k1 long, k2 long").groupBy("k1", "k2").agg(F.count("*").alias("n"))
+    return arrow_map(documents(docs).select("text"), keys, "k1 long, k2 long").groupBy("k1", "k2").agg(F.count("*").alias("n"))
 
 
-def insert_documents(counts: DataFrame, docs: DataFrame) -> DataFrame:
-    """The reference counts after ``docs`` came in."""
-    return counts.unionByName(count_references(docs)).groupBy("k1", "k2").agg(F.sum("n").alias("n"))
+@dataclass(frozen=True)
+class LineIndex:
+    """Reference counts (k1, k2, n), and for each shard with keys to be dropped (shard, filter, keys): the filter's
+    table, and the exact keys in order."""
 
+    counts: DataFrame
+    shards: DataFrame
+    least: int
+    n_shards: int
 
-def delete_documents(counts: DataFrame, docs: DataFrame) -> DataFrame:
-    """The reference counts after ``docs``, which had come in before, went out; keys without references go too."""
-    gone = count_references(docs).withColumn("n", -F.col("n"))
-    return counts.unionByName(gone).groupBy("k1", "k2").agg(F.sum("n").alias("n")).where("n > 0")
+    @classmethod
+    def empty(cls, spark: SparkSession, least: int = 10, n_shards: int = SHARDS) -> LineIndex:
+        """The index of no documents; choose ``n_shards`` so that a shard's keys fit in a task."""
+        return cls(spark.createDataFrame([], "k1 long, k2 long, n long"), spark.createDataFrame([], "shard int, filter binary, keys binary"), least, n_shards)
 
+    def insert(self, docs: DataFrame) -> LineIndex:
+        """The index after ``docs(doc_id, text, ...)`` came in; as for `count_references`, each row is a document."""
+        return self._changed(count_references(docs))
 
-def _shards(keys: DataFrame) -> list:
-    """For each shard with keys: its number, its filter, and its keys in order."""
+    def delete(self, docs: DataFrame) -> LineIndex:
+        """The index after ``docs``, which had come in before, went out; keys without references go too."""
+        return self._changed(count_references(docs).withColumn("n", -F.col("n")))
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            both = np.stack([batch.column(c).to_numpy() for c in ("k1", "k2")], axis=1)
-            shard = batch.column("shard").to_numpy()
-            for s in np.unique(shard):
-                own.setdefault(int(s), []).append(both[shard == s])
-        for s, parts in own.items():
-            both = np.concatenate(parts)
-            both = both[np.argsort(both[:, 0], kind="stable")]
-            yield pa.record_batch({"shard": pa.array([s], pa.int32()), "filter": pa.array([CuckooFilter.of(both[:, 0].view(np.uint64)).tobytes()], pa.binary()), "keys": pa.array([both.tobytes()], pa.binary())})
+    def write(self, path: str) -> None:
+        """Writes both tables below ``path``."""
+        self.counts.write.parquet(f"{path}/counts")
+        self.shards.write.parquet(f"{path}/shards")
 
-    keys = keys.select("k1", "k2", F.pmod("k2", F.lit(SHARDS)).cast("int").alias("shard"))
-    return keys.repartition(SHARDS, "shard").mapInArrow(build, "shard int, filter binary, keys binary").collect()
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, least: int = 10, n_shards: int = SHARDS) -> LineIndex:
+        """An index that `write` wrote, with the threshold and number of shards that it was made with."""
+        return cls(spark.read.parquet(f"{path}/counts"), spark.read.parquet(f"{path}/shards"), least, n_shards)
+
+    def _changed(self, delta: DataFrame) -> LineIndex:
+        old = self.counts.select("k1", "k2", "n", F.col("n").alias("before"))
+        both = old.unionByName(delta.select("k1", "k2", "n", F.lit(0).cast("long").alias("before")))
+        both = both.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.sum("before").alias("before"))
+        both = stash(both.where("n > 0 or before > 0"), "line-counts")
+        shard = F.pmod("k2", F.lit(self.n_shards)).cast("int").alias("shard")
+        moved = both.select(shard, "k1", "k2", (F.col("n") >= self.least).alias("now"), (F.col("before") >= self.least).alias("was")).where("now <> was")
+        shards = moved.groupBy("shard").cogroup(self.shards.groupBy("shard")).applyInArrow(_moved, "shard int, filter binary, keys binary")
+        return LineIndex(both.where("n > 0").select("k1", "k2", "n"), stash(shards.where("octet_length(keys) > 0"), "line-shards"), self.least, self.n_shards)
+
+
+def _moved(moved: pa.Table, shard: pa.Table) -> pa.Table:
+    """A shard after keys came in or went out: its filter is updated key by key, and only made anew if it is full."""
+    known = np.frombuffer(shard.column("keys")[0].as_py(), np.int64).reshape(-1, 2) if shard.num_rows else np.zeros((0, 2), np.int64)
+    number = (moved if moved.num_rows else shard).column("shard")[0].as_py()
+    both = np.stack([moved.column(c).to_numpy().astype(np.int64) for c in ("k1", "k2")], axis=1) if moved.num_rows else np.zeros((0, 2), np.int64)
+    comes = moved.column("now").to_numpy().astype(bool) if moved.num_rows else np.zeros(0, bool)
+    gone = set(map(tuple, both[~comes].tolist()))
+    kept = known[[tuple(k) not in gone for k in known.tolist()]] if gone else known
+    keys = np.concatenate((kept, both[comes]))
+    keys = keys[np.lexsort((keys[:, 1], keys[:, 0]))]
+    own = CuckooFilter.read(shard.column("filter")[0].as_py()) if shard.num_rows else CuckooFilter(len(keys))
+    fits = all(own.delete(k) for k in both[~comes, 0].view(np.uint64).tolist()) and all(own.insert(k) for k in both[comes, 0].view(np.uint64).tolist())
+    if not fits:
+        own = CuckooFilter.of(keys[:, 0].copy().view(np.uint64))
+    return pa.table({"shard": pa.array([number], pa.int32()), "filter": pa.array([own.tobytes()], pa.binary()), "keys": pa.array([keys.tobytes()], pa.binary())})
 
 
 class _Dropped:
-    """Looks up keys: in the shard's filter first, in its exact keys then."""
-
-    def __init__(self, rows: list):
-        self.shards = {r.shard: (CuckooFilter.read(r.filter), np.frombuffer(r.keys, np.int64).reshape(-1, 2)) for r in rows}
+    """Looks up keys: in their shards' filters first, in the exact keys then. ``rows`` are (shard, filter, keys)."""
+
+    def __init__(self, rows: list[tuple[int, bytes, bytes]], n_shards: int):
+        tables = [np.frombuffer(f, np.uint16).reshape(-1, CuckooFilter.SLOTS) for _, f, _ in rows]
+        self.n_shards = n_shards
+        self.table = np.concatenate([*tables, np.zeros((1, CuckooFilter.SLOTS), np.uint16)])
+        self.first, self.mask = np.full(n_shards, len(self.table) - 1), np.zeros(n_shards, np.uint64)
+        at = 0
+        for (shard, _, _), table in zip(rows, tables, strict=True):
+            self.first[shard], self.mask[shard] = at, len(table) - 1
+            at += len(table)
+        keys = np.frombuffer(b"".join(k for _, _, k in rows), np.int64).reshape(-1, 2)
+        self.keys = keys[np.lexsort((keys[:, 1], keys[:, 0]))]
+        self.most = int(np.unique(self.keys[:, 0], return_counts=True)[1].max()) if len(keys) else 0
 
     def __call__(self, pairs: np.ndarray) -> np.ndarray:
         out = np.zeros(len(pairs), bool)
-        shard = pairs[:, 1] % SHARDS
-        for s, (known, keys) in self.shards.items():
-            at = np.flatnonzero((shard == s) & pairs.any(axis=1))
-            at = at[known.contains(pairs[at, 0].view(np.uint64))]
-            if len(at):
-                spot = np.searchsorted(keys[:, 0], pairs[at, 0])
-                for _ in range(int(np.unique(keys[:, 0], return_counts=True)[1].max())):
-                    here = np.minimum(spot, len(keys) - 1)
-                    out[at] |= (keys[here] == pairs[at]).all(axis=1)
-                    spot = spot + 1
+        at = np.flatnonzero(pairs.any(axis=1))
+        h, shard = pairs[at, 0].view(np.uint64), pairs[at, 1] % self.n_shards
+        mark, one, two = CuckooFilter.places(h, self.mask[shard])
+        known = (self.table[self.first[shard] + one] == mark[:, None]) | (self.table[self.first[shard] + two] == mark[:, None])
+        at = at[known.any(axis=1)]
+        if len(at):
+            spot = np.searchsorted(self.keys[:, 0], pairs[at, 0])
+            for i in range(self.most):
+                out[at] |= (self.keys[np.minimum(spot + i, len(self.keys) - 1)] == pairs[at]).all(axis=1)
         return out
 
 
-def _rewrite(part: pa.RecordBatch, dropped: np.ndarray, counts: np.ndarray, flat: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Texts without their dropped lines, and the number of those."""
-    at = starts(counts)
-    lost = np.add.reduceat(dropped, at[:-1]).astype(np.int64) if len(counts) else np.zeros(0, np.int64)
-    keep = flat.filter(pa.array(~dropped))
-    ends = np.concatenate(([0], np.cumsum(counts - lost))).astype(np.int32)
-    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), keep), "\n"), lost
+def _rewrite(part: pa.RecordBatch, text: str, dropped: np.ndarray, counts: np.ndarray, flat: pa.Array, report: bool) -> pa.RecordBatch:
+    """Rows with their dropped lines taken out of the text; with ``report``, also their number of lines and of those."""
+    lost = np.add.reduceat(dropped, starts(counts)[:-1]).astype(np.int64) if len(counts) else np.zeros(0, np.int64)
+    ends = starts(counts - lost).astype(np.int32)
+    kept = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), flat.filter(pa.array(~dropped))), "\n")
+    names = part.schema.names
+    columns = [kept if c == text else part.column(c) for c in names]
+    if report:
+        columns, names = [*columns, pa.array(counts), pa.array(lost)], [*names, "n_lines", "n_dropped"]
+    return pa.record_batch(columns, names=names)
 
 
-def dedup_lines(docs: DataFrame, counts: DataFrame | None = None, least: int = 10, bound: int = BROADCAST_KEYS, report: bool = False) -> DataFrame:
-    """Drops each line whose key at least ``least`` documents of the reference counts hold, in every document.
+def dedup_lines(docs: DataFrame, index: LineIndex | None = None, least: int = 10, bound: int = BROADCAST_KEYS, report: bool = False) -> DataFrame:
+    """Drops each line whose key at least ``least`` documents of the index hold, in every document.
 
-    A key is the line without ASCII white space at both ends, A-Z lower-cased; blank lines have none and stay. The
-    counts are those of ``docs`` if none are given. Returns ``docs`` with its columns, text being the lines kept, joined
-    by a newline; with ``report``: doc_id, text, n_lines, n_dropped. A null or empty text is one blank line and becomes
-    an empty text. Repeated rows are documents of their own, an empty table gives no rows; other columns, whatever
-    their names, pass through.
+    A key is the line without ASCII white space at both ends, A-Z lower-cased; blank lines have none and stay. Without an
+    ``index`` it is that of ``docs``; with one, its threshold holds. Returns ``docs`` with its columns, text being the
+    lines kept, joined by a newline; with ``report``: doc_id, text, n_lines, n_dropped. A null or empty text is one blank
+    line and becomes an empty text; whole texts are taken, however long. Repeated rows are documents of their own, an
+    empty table gives no rows; other columns, whatever their names, pass through, as does a null doc_id.
     """
     spark = docs.sparkSession
-    counts = count_references(docs) if counts is None else counts
-    keys = stash(counts.where(F.col("n") >= least).select("k1", "k2"), "line-keys")
-    docs = docs.select("doc_id", "text") if report else docs
-    schema = "doc_id long, text string, n_lines long, n_dropped long" if report else docs.schema
-    if keys.count() > bound:
-        return _join_lines(docs, keys, report)
-    shared = spark.sparkContext.broadcast([r.asDict() for r in _shards(keys)])
-
-    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from types import SimpleNamespace
-
-        known = _Dropped([SimpleNamespace(**x) for x in shared.value])
-        for batch in batches:
-            for part in slices(batch, "text"):
-                lines, flat, pairs = split_lines(part.column("text"))
-                text, lost = _rewrite(part, known(pairs), lines, flat)
-                yield _result(part, text, lines, lost, report)
-
-    return docs.mapInArrow(drop, schema)
-
-
-def _result(part: pa.RecordBatch, text: pa.Array, lines: np.ndarray, lost: np.ndarray, report: bool) -> pa.RecordBatch:
-    if report:
-        return pa.record_batch([part.column("doc_id"), text, pa.array(lines), pa.array(lost)], names=["doc_id", "text", "n_lines", "n_dropped"])
-    i = part.schema.get_field_index("text")
-    return pa.record_batch([text if k == i else c for k, c in enumerate(part.columns)], schema=part.schema)
-
-
-def _join_lines(docs: DataFrame, keys: DataFrame, report: bool) -> DataFrame:
-    """The same by joins: lines meet the keys, and documents meet the numbers of their dropped lines.
-
-    Documents are named by a hash of id and text; equal rows lose equal lines.
+    index = LineIndex.empty(spark, least).insert(docs) if index is None else index
+    names = ["doc_id", "text"] if report else docs.columns
+    own, _, text = numbered(documents(docs) if report else docs)
+    if not report:
+        own = own.withColumn(text, F.col(text).cast("string"))
+    schema = StructType([StructField(f.name, f.dataType) for f in own.schema] + [StructField(c, LongType()) for c in ("n_lines", "n_dropped") if report])
+    n_keys = index.shards.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
+    if n_keys > 16 * bound:
+        out = _travelling(own, text, index, schema, report)
+    else:
+        shared = spark.sparkContext.broadcast([(r.shard, bytes(r.filter), bytes(r["keys"])) for r in index.shards.collect()])
+
+        def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = _Dropped(shared.value, index_shards)
+            for batch in batches:
+                for part in slices(batch, text):
+                    lines, flat, pairs = split_lines(part.column(text))
+                    yield _rewrite(part, text, known(pairs), lines, flat, report)
+
+        index_shards = index.n_shards
+        out = arrow_map(own, drop, schema)
+    return out.toDF(*names, *(("n_lines", "n_dropped") if report else ()))
+
+
+def _travelling(docs: DataFrame, text: str, index: LineIndex, schema: StructType, report: bool) -> DataFrame:
+    """The same without a broadcast: lines travel to their shard, and the numbers of dropped lines to their documents.
+
+    Documents are named by 128 bits of a hash of all they are; equal rows lose equal lines.
     """
-    name, lost_lines = fresh(docs, "__row"), fresh(docs, "__gone")
-    kept_schema = docs.schema
-    docs = docs.withColumn(name, F.xxhash64("doc_id", "text"))
+    columns, n_shards = docs.columns, index.n_shards
+    one, two = F.xxhash64(F.lit("one"), *columns), F.xxhash64(F.lit("two"), *columns)
+    docs = docs.withColumn("row1", one).withColumn("row2", two)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                lines, _, pairs = split_lines(part.column("text"))
-                number = np.arange(len(pairs)) - np.repeat(starts(lines)[:-1], lines)
-                row = np.repeat(part.column("row").to_numpy(), lines)
+            for part in slices(batch, text):
+                lines, _, pairs = split_lines(part.column(text))
                 full = pairs.any(axis=1)
-                yield pa.record_batch({"row": pa.array(row[full]), "number": pa.array(number[full]), "k1": pa.array(pairs[full, 0]), "k2": pa.array(pairs[full, 1])})
-
-    lines = docs.select(F.col(name).alias("row"), "text").mapInArrow(explode, "row long, number long, k1 long, k2 long")
-    gone = lines.join(keys, ["k1", "k2"], "left_semi").groupBy(F.col("row").alias(name)).agg(F.collect_set("number").alias(lost_lines))
-    both = docs.join(gone, name, "left").drop(name)
-    schema = "doc_id long, text string, n_lines long, n_dropped long" if report else kept_schema
+                number = (np.arange(len(pairs)) - np.repeat(starts(lines)[:-1], lines))[full]
+                rows = [np.repeat(part.column(c).to_numpy(), lines)[full] for c in ("row1", "row2")]
+                shard, salt = (pairs[full, 1] % n_shards).astype(np.int32), (rows[0] % SALTS).astype(np.int32)
+                yield pa.record_batch({"shard": pa.array(shard), "salt": pa.array(salt), "kind": pa.array(np.ones(len(salt), np.int32)), "row1": pa.array(rows[0]), "row2": pa.array(rows[1]),
+                                       "number": pa.array(number), "k1": pa.array(pairs[full, 0]), "k2": pa.array(pairs[full, 1])})
+
+    lines = arrow_map(docs.select("row1", "row2", text), explode, "shard int, salt int, kind int, row1 long, row2 long, number long, k1 long, k2 long")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    state = index.shards.select("shard", salts, F.lit(0).alias("kind"), "filter", "keys")
+    both = lines.unionByName(state, allowMissingColumns=True).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, None
+        for batch in batches:
+            shard, kind = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
+            cuts = np.flatnonzero(np.concatenate(([True], (shard[1:] != shard[:-1]) | (kind[1:] == 0), [True]))) if len(shard) else []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(a, b - a)
+                if kind[a] == 0:
+                    now = int(shard[a])
+                    known = _Dropped([(now, part.column("filter")[0].as_py(), part.column("keys")[0].as_py())], n_shards)
+                    part = part.slice(1)
+                if now == shard[a] and part.num_rows:
+                    pairs = np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("k1", "k2")], axis=1)
+                    yield part.filter(pa.array(known(pairs))).select(["row1", "row2", "number"])
+
+    gone = arrow_map(both, look_up, "row1 long, row2 long, number long").groupBy("row1", "row2").agg(F.collect_set("number").alias("gone"))
+    both = docs.join(gone, ["row1", "row2"], "left").select(*columns, "gone")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                lists = pc.split_pattern(texts(part.column("text")), "\n")
+            for part in slices(batch, text):
+                lists = pc.split_pattern(texts(part.column(text)), "\n")
                 counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 dropped = np.zeros(int(counts.sum()), bool)
-                for first, gone in zip(starts(counts)[:-1], part.column(lost_lines).to_pylist(), strict=True):
+                for first, gone in zip(starts(counts)[:-1], part.column("gone").to_pylist(), strict=True):
                     dropped[[first + g for g in gone or ()]] = True
-                part = part.drop_columns([lost_lines])
-                text, lost = _rewrite(part, dropped, counts, lists.flatten())
-                yield _result(part, text, counts, lost, report)
+                yield _rewrite(part.drop_columns(["gone"]), text, dropped, counts, lists.flatten(), report)
 
-    return both.mapInArrow(drop, schema)
+    return arrow_map(both, drop, schema)
 
 
 def sha256(array: pa.Array) -> pa.Array:
