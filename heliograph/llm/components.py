@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stash
+from .scratch import discard, stash
+
+#: Edges of a file, about; few edges make few files, whatever the number of shuffle partitions.
+FILE_EDGES = 1_000_000
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -20,7 +23,8 @@ def connected(edges: DataFrame) -> DataFrame:
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     ).distinct()
     links = stash(links, "links")
-    if links.isEmpty():
+    files = -(-links.count() // FILE_EDGES)
+    if not files:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     before = None
     while True:
@@ -28,11 +32,9 @@ def connected(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
-        links = stash(
-            large.join(small, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-            .where("a <> b").distinct(),
-            "links",
-        )
+        later = large.join(small, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        old, links = links, stash(later.where("a <> b").distinct().coalesce(files), "links")
+        discard(old)
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
