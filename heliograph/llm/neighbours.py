@@ -1,16 +1,19 @@
 """Operator 6: approximate nearest neighbours by multi-index hashing.
 
-A rotation is learned on a bounded sample (iterative quantization) and turns each vector into a binary code. The code
-is cut into substrings and each of them is indexed. A code within Hamming radius R of the query's agrees with it in
-some substring up to R / m bits (pigeonhole), so probing the substrings finds every code within R; those are reranked by
-the exact cosine. R is learned on the same sample, so that nearly all true neighbours lie within it.
+Rotations are learned on a bounded sample (iterative quantization) and turn each vector into a long binary code, which is
+cut into substrings of 16 bits. Each substring is indexed: an entry (substring, value) leads to the rows that hold it.
+A query probes every value within ``reach`` bits of its own, in each substring, so that by the pigeonhole principle every
+row whose code is within a Hamming radius of substrings * (reach + 1) - 1 is retrieved (and many beyond it). Entries and
+probes meet in a plain equi-join; what they retrieve is reranked by the exact cosine of the original vectors.
 
-Queries and rows are dealt into blocks and every block of queries meets every block of rows, so that memory is bounded
-whatever the number of rows; each cell returns its best few for each query.
+Number of substrings and reach are chosen by the true neighbours of a few sampled rows: enough of them have to be
+retrieved, by as few candidates as possible. Equal vectors are indexed once, whatever the number of rows that hold them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -18,22 +21,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors that rotation and radius are learned from, and queries among them.
-SAMPLE, SAMPLE_QUERIES = 4096, 512
-#: Bits of a code and of a substring.
-BITS, SUB = 64, 16
-#: Share of true neighbours, in the sample, that the radius has to cover.
-COVER = 0.985
-#: Rows and queries of a block.
-BLOCK = 8192
+from .columns import arrow_map
+from .scratch import stash
 
+#: Vectors that rotations and numbers are learned from, and queries among them.
+SAMPLE, SAMPLE_QUERIES = 4096, 256
+#: Bits of a substring, and of the part of a code that one rotation gives; rotations at most.
+SUB, TURN, TURNS = 16, 64, 32
+#: Substrings may differ in so many bits at most.
+MOST_REACH = 4
+#: Recall that is promised, and by how many standard deviations of what so many queries measure it has to be exceeded.
+RECALL, MARGIN = 0.9, 3
+#: Queries whose vectors a task holds at once; ways that the rows of a block of queries are dealt out; pairs scored at once.
+BLOCK, SALTS, PAIRS = 8192, 16, 16_384
+#: Vectors of a length that fewer rows have aren't indexed, but compared with all queries of that length.
+INDEXED = 1000
 
-def fit_rotation(x: np.ndarray, bits: int = BITS, rounds: int = 30, seed: int = 7) -> np.ndarray:
-    """A (dim, bits) matrix whose signs code unit vectors: main directions, rotated until they are nearest to signs."""
+
+def fit_rotation(x: np.ndarray, seed: int, bits: int = TURN, rounds: int = 10) -> np.ndarray:
+    """A (dim, bits) matrix whose signs code unit vectors: directions, turned until they are nearest to signs.
+
+    Seed 0 begins with the main directions of ``x``, others with random ones.
+    """
     rng = np.random.default_rng(seed)
     dim = x.shape[1]
-    _, _, axes = np.linalg.svd(x, full_matrices=True)
-    base = axes[: min(bits, dim)].T
+    if seed:
+        axes, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
+    else:
+        axes = np.linalg.svd(x, full_matrices=True)[2].T
+    base = axes[:, : min(bits, dim)]
     if bits > dim:
         base = np.hstack([base, rng.standard_normal((dim, bits - dim)) / np.sqrt(dim)])
     v = x @ base
@@ -44,63 +60,52 @@ def fit_rotation(x: np.ndarray, bits: int = BITS, rounds: int = 30, seed: int =
     return base @ r
 
 
-def encode(x: np.ndarray, rotation: np.ndarray) -> np.ndarray:
-    """Codes as (n, BITS / 64) words."""
-    return np.packbits(x @ rotation > 0, axis=1, bitorder="little").view(np.uint64)
-
-
-def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
-
-
-def fit_radius(x: np.ndarray, rotation: np.ndarray, k: int) -> int:
-    """The Hamming radius that covers enough of the k nearest, by brute force within the sample."""
-    codes, n = encode(x, rotation), len(x)
-    if n < 2:
-        return BITS
-    q = np.arange(min(n, SAMPLE_QUERIES))
-    near = x[q] @ x.T
-    near[q, q] = -2
-    best = np.argsort(-near, axis=1)[:, : min(k, n - 1)]
-    return int(np.quantile(_far(codes[q][:, None], codes[best]), COVER, method="higher"))
-
-
-class MultiIndex:
-    """One index for each substring: its distinct values, and the rows of each."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.subs = codes.view(np.uint16)
-        self.order, self.values, self.begin = [], [], []
-        for s in range(self.subs.shape[1]):
-            order = np.argsort(self.subs[:, s], kind="stable")
-            values, begin = np.unique(self.subs[order, s], return_index=True)
-            self.order.append(order)
-            self.values.append(values)
-            self.begin.append(np.append(begin, len(order)))
-        self.masks: dict[int, np.ndarray] = {}
-
-    def _near(self, s: int, value: np.uint16, radius: int) -> np.ndarray:
-        """Places of the values within the radius: by looking up each possible value, or, if they are more, by scanning."""
-        values = self.values[s]
-        if radius not in self.masks and sum(1 for _ in zip(range(len(values)), (c for r in range(radius + 1) for c in combinations(range(SUB), r)), strict=False)) < len(values):
-            self.masks[radius] = np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(SUB), r)], np.uint16)
-        if radius in self.masks and len(self.masks[radius]) < len(values):
-            probes = self.masks[radius] ^ value
-            at = np.minimum(np.searchsorted(values, probes), len(values) - 1)
-            return at[values[at] == probes]
-        return np.flatnonzero(np.bitwise_count(values ^ value) <= radius)
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Every row whose code is within the Hamming radius."""
-        seen = np.zeros(len(self.codes), bool)
-        for s, value in enumerate(code.view(np.uint16)):
-            at = self._near(s, value, radius // self.subs.shape[1])
-            first, size = self.begin[s][at], self.begin[s][at + 1] - self.begin[s][at]
-            ends = np.cumsum(size)
-            seen[self.order[s][np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)]] = True
-        rows = np.flatnonzero(seen)
-        return rows[_far(self.codes[rows], code) <= radius]
+@dataclass(frozen=True)
+class Codes:
+    """Learned codes: rotations side by side, how many substrings count, how many bits of one a probe may change; and,
+    on the sample, the share of true neighbours and of all rows that this retrieves."""
+
+    rotation: np.ndarray
+    substrings: int
+    reach: int
+    recall: float
+    candidates: float
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """Values of the substrings of unit vectors, as (n, substrings)."""
+        return substrings_of(x, self.rotation)[:, : self.substrings]
+
+    def masks(self) -> np.ndarray:
+        """What a probe changes: all values of up to ``reach`` bits."""
+        return np.array([sum(1 << b for b in c) for r in range(self.reach + 1) for c in combinations(range(SUB), r)], np.uint16)
+
+
+def substrings_of(x: np.ndarray, rotation: np.ndarray) -> np.ndarray:
+    return np.packbits(x @ rotation > 0, axis=1, bitorder="little").view(np.uint16)
+
+
+def cover(k: int, queries: int) -> float:
+    """The share of true neighbours to be retrieved so that the recall measured on so many queries is RECALL at least."""
+    p = np.linspace(RECALL, 1, 1001)
+    return float(p[np.argmax(p - MARGIN * np.sqrt(p * (1 - p) / (k * max(1, queries))) >= RECALL)])
+
+
+def fit_codes(x: np.ndarray, query: np.ndarray, near: np.ndarray, enough: float) -> Codes:
+    """Codes for unit vectors like the sample ``x``: of all numbers of substrings and reaches that retrieve a share
+    ``enough`` of the pairs of a query and one of its true neighbours, those of fewest candidates; if there are none,
+    those that retrieve most."""
+    rotation = np.hstack([fit_rotation(x, seed) for seed in range(TURNS)])
+    codes, asked = substrings_of(x, rotation), substrings_of(query, rotation)
+    other = np.random.default_rng(1).integers(0, len(x), (len(query), 16))
+    least = {"true": np.bitwise_count(asked ^ substrings_of(near, rotation)), "any": np.bitwise_count(asked[:, None] ^ codes[other]).reshape(-1, codes.shape[1])}
+    found: list[tuple] = []
+    for reach in range(MOST_REACH + 1):
+        share = {name: np.logical_or.accumulate(far <= reach, axis=1).mean(axis=0) for name, far in least.items()}
+        reached = np.flatnonzero(share["true"] >= enough)
+        m = int(reached[0]) if len(reached) else codes.shape[1] - 1
+        found.append((not len(reached), share["any"][m] if len(reached) else -share["true"][m], reach, m + 1, float(share["true"][m]), float(share["any"][m])))
+    _, _, reach, m, recall, candidates = min(found)
+    return Codes(rotation, m, reach, recall, candidates)
 
 
 def usable(vector: Column) -> Column:
@@ -117,52 +122,204 @@ def _unit(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return x, np.sqrt((x * x).sum(axis=1))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
+def _numbers(column: pa.Array, kind) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind)
+
+
+def _top(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each query: highest score first, then smallest id."""
+    order = np.lexsort((ids, -score, query))
+    first = np.concatenate(([True], query[order][1:] != query[order][:-1])) if len(order) else np.zeros(0, bool)
+    rank = np.arange(len(order)) - np.flatnonzero(first)[np.cumsum(first) - 1] if len(order) else np.zeros(0, int)
+    return order[rank < k]
+
+
+class _Best:
+    """The k best rows so far of each query of a block, by the cosine of the original vectors."""
+
+    def __init__(self, names: np.ndarray, vectors: np.ndarray, norms: np.ndarray, k: int):
+        order = np.argsort(names, kind="stable")
+        self.names, self.vectors, self.norms, self.k = names[order], vectors[order], norms[order], k
+        self.held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def add(self, row: np.ndarray, query: np.ndarray, vectors: np.ndarray, norms: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Scores pairs (row, name of a query); a row has ``sizes`` ids."""
+        at, begin = np.searchsorted(self.names, query), np.concatenate(([0], np.cumsum(sizes)))
+        for a in range(0, len(row), PAIRS):
+            r, q = row[a : a + PAIRS], at[a : a + PAIRS]
+            # Row by row, so that equal vectors have equal scores.
+            score = (vectors[r] * self.vectors[q]).sum(axis=1) / (norms[r] * self.norms[q])
+            own = sizes[r]
+            ends = np.cumsum(own)
+            name = ids[np.arange(ends[-1]) + np.repeat(begin[r] - ends + own, own)]
+            query_, score = np.repeat(self.names[q], own), np.repeat(score, own)
+            other = name != query_
+            new = [np.concatenate((h, x[other])) for h, x in zip(self.held, (query_, name, score), strict=True)]
+            best = _top(*new, self.k)
+            self.held = tuple(x[best] for x in new)
+
+    def rows(self) -> pa.RecordBatch:
+        query, name, score = self.held
+        return pa.record_batch({"query_id": pa.array(query), "vec_id": pa.array(name), "score": pa.array(score)})
+
+
+_FOUND = "query_id long, vec_id long, score double"
+
+
+def _retrieved(vectors: DataFrame, asked: DataFrame, codes: Codes, k: int) -> DataFrame:
+    """Best rows found by the index, for each query and task: (query_id, vec_id, score)."""
+    shared = vectors.sparkSession.sparkContext.broadcast(codes)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        turn = np.arange(own.substrings, dtype=np.int32) << SUB
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                x, norm = _unit(part)
+                slot = own.of(x / norm[:, None]).astype(np.int32) | turn
+                yield pa.record_batch({"slot": pa.array(slot.ravel()), "row": pa.array(np.repeat(part.column("row").to_numpy(), own.substrings))})
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        turn, masks = np.arange(own.substrings, dtype=np.int32) << SUB, own.masks()
+        for batch in batches:
+            for part in (batch.slice(i, 16) for i in range(0, batch.num_rows, 16)):
+                x, norm = _unit(part)
+                slot = (own.of(x / norm[:, None])[:, :, None] ^ masks).astype(np.int32) | turn[:, None]
+                yield pa.record_batch({"slot": pa.array(slot.ravel()), "query": pa.array(np.repeat(part.column("query").to_numpy(), slot[0].size))})
+
+    blocks = -(-asked.count() // BLOCK)
+    entries = arrow_map(vectors.select("row", "v"), index, "slot int, row long")
+    probes = arrow_map(asked.select("query", "v"), probe, "slot int, query long")
+    block = F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")
+    pairs = entries.join(probes, "slot").select(block.alias("block"), "row", "query").groupBy("block", "row").agg(F.collect_list("query").alias("queries"))
+    rows = pairs.join(vectors, "row").select("block", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("kind"), "queries", "v", "ids")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    own = asked.select(block.alias("block"), salts, F.lit(0).alias("kind"), F.array("query").alias("queries"), "v", F.array("query").alias("ids"))
+    dealt = own.unionByName(rows).repartition("block", "salt").sortWithinPartitions("block", "salt", "kind")
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, best, held = None, None, []
+        for batch in batches:
+            key = batch.column("block").to_numpy().astype(np.int64) * SALTS + batch.column("salt").to_numpy()
+            kind = batch.column("kind").to_numpy()
+            cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]), [True]))) if len(key) else []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(a, b - a)
+                if kind[a] == 0:
+                    if key[a] != now:
+                        if best:
+                            yield best.rows()
+                        now, best, held = key[a], None, []
+                    held.append((_numbers(part.column("ids"), np.int64), *_unit(part)))
+                    continue
+                if best is None:
+                    best, held = _Best(*(np.concatenate(x) for x in zip(*held, strict=True)), k), []
+                asked_by = part.column("queries").value_lengths().to_numpy()
+                row, query = np.repeat(np.arange(part.num_rows), asked_by), _numbers(part.column("queries"), np.int64)
+                order = np.lexsort((query, row))
+                row, query = row[order], query[order]
+                new = np.concatenate(([True], (row[1:] != row[:-1]) | (query[1:] != query[:-1])))
+                best.add(row[new], query[new], *_unit(part), _numbers(part.column("ids"), np.int64), part.column("ids").value_lengths().to_numpy())
+        if best:
+            yield best.rows()
+
+    return arrow_map(dealt, rerank, _FOUND)
+
+
+def _fitted(vectors: DataFrame, sample: DataFrame, k: int, enough: float) -> Codes:
+    """Codes for the vectors: rotations from the sample, numbers from the true neighbours, among all vectors, of a few of
+    its rows. The sample and k * SAMPLE_QUERIES neighbours come to the driver."""
+    sample = stash(sample, "sample")
+    named = vectors.select("row", "v", F.array("row").alias("ids"))
+    found = _compared(named, sample.limit(SAMPLE_QUERIES).select(F.col("row").alias("query"), "v"), k)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    pairs = stash(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "vec_id"), "pairs")
+    pairs = pairs.join(vectors.select(F.col("row").alias("vec_id"), "v"), "vec_id").select("query_id", "v").toArrow()
+    table = sample.toArrow()
+    x, norm = _unit(table)
+    x = x / norm[:, None]
+    place = {r: i for i, r in enumerate(table.column("row").to_pylist())}
+    near, norm = _unit(pairs)
+    return fit_codes(x, x[[place[q] for q in pairs.column("query_id").to_pylist()]], near / norm[:, None], enough)
+
+
+def _compared(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Best rows for each query and task by comparison with all rows; queries come in blocks of a fixed size."""
+    out = vectors.sparkSession.createDataFrame([], _FOUND)
+    blocks = -(-asked.count() // BLOCK)
+    for b in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).select("query", "v").toArrow()
+        if block.num_rows:
+            shared = vectors.sparkSession.sparkContext.broadcast((block.column("query").to_numpy(), *_unit(block)))
+
+            def compare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                names, x, norm = shared.value
+                best = _Best(names, x, norm, k)
+                for batch in batches:
+                    if batch.num_rows:
+                        ids, sizes = _numbers(batch.column("ids"), np.int64), batch.column("ids").value_lengths().to_numpy()
+                        mine = _unit(batch)
+                        for r in range(0, batch.num_rows, 64):
+                            row = np.arange(r, min(r + 64, batch.num_rows))
+                            best.add(np.repeat(row, len(names)), np.tile(names, len(row)), *mine, ids, sizes)
+                yield best.rows()
+
+            out = out.unionByName(arrow_map(vectors.select("v", "ids"), compare, _FOUND))
+    return out
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, chosen: list | None = None) -> DataFrame:
     """The ``k`` nearest rows of ``vectors(vec_id, v)`` by cosine for each row of ``queries(vec_id, v)``.
 
     Returns query_id, rank (from 1), vec_id, score (the cosine of the original vectors, in double precision); ties go to
-    the smaller vec_id, and a row of the query's own vec_id is no candidate. Rows of a null vec_id, vectors that are
-    null, zero or hold null or non-finite components, and vectors of another length than most take no part. Repeated rows are
-    candidates each for itself; a repeated query is answered once. Without candidates a query has no rows.
+    the smaller vec_id, and a row of the query's own vec_id is no candidate. Rows of a null vec_id and vectors that are
+    null, empty, zero or hold null or non-finite components take no part; vectors of unlike length have no cosine, so a
+    query meets those of its own length. Repeated rows are candidates each for itself; a vec_id that several queries have
+    is answered once, for the smallest of their vectors. A query for which the index finds fewer than ``k`` rows is
+    compared with all of them, so it has fewer only where there are no more. No queries or no rows give no rows.
+    ``chosen``, if given, gets the `Codes` of each length that is indexed.
     """
-    good = [t.where(F.col("vec_id").isNotNull() & usable(F.col("v"))).select("vec_id", F.col("v").cast("array<double>").alias("v")) for t in (vectors, queries)]
-    sizes = good[0].groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    schema = "query_id long, vec_id long, score double"
-    if not sizes:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows, asked = (t.where(F.size("v") == sizes[0].n) for t in good)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
-    x, norm = _unit(sample)
-    rotation = fit_rotation(x / norm[:, None])
-    radius = fit_radius(x / norm[:, None], rotation, k)
-    asked = asked.dropDuplicates(["vec_id"])
-    down, across = (max(1, -(-t.count() // block)) for t in (asked, rows))
-    number = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    rows = rows.withColumn("a", number(across)).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
-    asked = asked.withColumn("d", number(down)).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
-
-    def cell(q: pa.Table, c: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
-        if q.num_rows and c.num_rows:
-            (xq, nq), (xc, nc) = _unit(q), _unit(c)
-            ids, names = c.column("vec_id").to_numpy(), q.column("vec_id").to_numpy()
-            codes, index = encode(xq / nq[:, None], rotation), MultiIndex(encode(xc / nc[:, None], rotation))
-            for i, name in enumerate(names):
-                reach, want = radius, min(k, int((ids != name).sum()))
-                while True:
-                    found = index.within(codes[i], reach)
-                    found = found[ids[found] != name]
-                    if len(found) >= want or reach >= BITS:
-                        break
-                    reach += 4
-                score = (xc[found] * xq[i]).sum(axis=1) / (nc[found] * nq[i])  # row by row: equal vectors have equal scores
-                best = np.lexsort((ids[found], -score))[:k]
-                out[0].append(np.full(len(best), name))
-                out[1].append(ids[found[best]])
-                out[2].append(score[best])
-        flat = [np.concatenate(x) if x else np.zeros(0) for x in out]
-        return pa.table({"query_id": pa.array(flat[0], pa.int64()), "vec_id": pa.array(flat[1], pa.int64()), "score": pa.array(flat[2], pa.float64())})
-
-    best = asked.groupBy("d", "a").cogroup(rows.groupBy("d", "a")).applyInArrow(cell, schema)
+    good = [t.where(F.col("vec_id").isNotNull() & usable(F.col("v"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v")) for t in (vectors, queries)]
+    # A vector's rows beyond the 2k of smallest id can't be among the k nearest of any query, whichever id that leaves out.
+    rows = good[0].withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit("second"), "v"))
+    for by in (["h1", "h2", "vec_id"], ["h1", "h2"]):
+        rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("vec_id"))).where(F.col("r") <= 2 * k)
+    rows = rows.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    rows = stash(rows.select(F.monotonically_increasing_id().alias("row"), "h1", F.size("v").alias("n"), "v", "ids"), "vectors")
+    asked = stash(good[1].groupBy(F.col("vec_id").alias("query")).agg(F.min("v").alias("v")).withColumn("n", F.size("v")), "queries")
+    many = [r.n for r in rows.groupBy("n").count().where(F.col("count") >= INDEXED).join(asked.select("n").distinct(), "n").orderBy("n").collect()]
+    parts = [_of_few(rows.where(~F.col("n").isin(many)), asked.where(~F.col("n").isin(many)), k)]
+    for n in many:
+        own, mine = rows.where(F.col("n") == n), asked.where(F.col("n") == n)
+        share = SAMPLE / own.count()
+        sample = own.where(F.abs(F.xxhash64("h1") / F.lit(float(1 << 63))) < share).select("row", "v").limit(2 * SAMPLE)
+        codes = _fitted(own, sample, k, cover(k, mine.count()))
+        if chosen is not None:
+            chosen.append(codes)
+        found = stash(_retrieved(own, mine, codes, k), "found")
+        full = found.groupBy("query_id").agg(F.count("*").alias("m")).where(F.col("m") >= k).select("query_id")
+        short = stash(mine.join(full.withColumnRenamed("query_id", "query"), "query", "left_anti"), "short")
+        parts += [found.join(full, "query_id", "left_semi"), _compared(own, short, k)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _of_few(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """All pairs of equal length, for lengths that few rows have."""
+    both = asked.join(rows.select("n", F.col("v").alias("w"), "ids"), "n")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for query, v, w, ids in zip(*(batch.column(c).to_pylist() for c in ("query", "v", "w", "ids")), strict=True):
+                (x, y), (p, q) = _unit(pa.table({"v": pa.array([v, w])}))
+                best = _Best(np.array([query]), x[None], np.array([p]), k)
+                best.add(np.zeros(1, np.int64), np.array([query]), y[None], np.array([q]), np.array(ids), np.array([len(ids)]))
+                yield best.rows()
+
+    return arrow_map(both, score, _FOUND)
