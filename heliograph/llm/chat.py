@@ -2,7 +2,8 @@
 
 A log holds events of conversations: ``message`` starts a message, ``delta`` appends to one, ``edit`` replaces its text
 and ``regenerate`` starts its text anew. Events are grouped by message first, so that a long conversation is folded by
-many tasks, and the finished messages of a conversation are then put in order and rendered.
+many tasks, and the finished messages of a conversation are then put in order and rendered. A rendered conversation is
+one row, and so is the largest thing that a task has to hold.
 """
 
 from __future__ import annotations
@@ -27,39 +28,61 @@ def unescaped(text: Column) -> Column:
 
 
 def _line(role: Column) -> Column:
-    """A role as one line, reversibly."""
-    return F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    """A role as one line: each backslash is followed by s, for itself, or by n, for a newline."""
+    return F.replace(F.replace(role, F.lit("\\"), F.lit("\\s")), F.lit("\n"), F.lit("\\n"))
 
 
 def _unlined(role: Column) -> Column:
-    back = F.replace(F.replace(role, F.lit("\\\\"), F.lit("\x00")), F.lit("\\n"), F.lit("\n"))
-    return F.replace(back, F.lit("\x00"), F.lit("\\"))
+    return F.replace(F.replace(role, F.lit("\\n"), F.lit("\n")), F.lit("\\s"), F.lit("\\"))
+
+
+def streamed(rows: DataFrame) -> DataFrame:
+    """The log of ``rows(conv_id, turn, role, text)`` as a chat front end would have written it.
+
+    A text of the assistant streams in as three deltas, is regenerated, and streams in again as two; any other text is
+    begun, and then edited. Folding gives the rows back. Null texts are empty; each row is a message of its own, repeated
+    or not.
+    """
+    t = F.coalesce("text", F.lit(""))
+
+    def part(k: int, n: int) -> Column:
+        begin = lambda i: F.floor(F.length(t) * i / n).cast("int")
+        return F.substring(t, begin(k) + 1, begin(k + 1) - begin(k))
+
+    def events(*of: tuple[str, Column]) -> Column:
+        return F.array(*[F.struct(F.lit(i).cast("long").alias("seq"), F.lit(kind).alias("kind"), x.alias("text")) for i, (kind, x) in enumerate(of)])
+
+    none = F.lit("")
+    talk = events(("message", none), ("delta", part(0, 3)), ("delta", part(1, 3)), ("delta", part(2, 3)), ("regenerate", none), ("delta", part(0, 2)), ("delta", part(1, 2)))
+    log = F.when(F.col("role") == "assistant", talk).otherwise(events(("message", part(0, 2)), ("edit", t)))
+    named = rows.withColumn("message", F.monotonically_increasing_id())
+    return named.select("conv_id", "message", "turn", "role", F.inline(log))
 
 
 def reconstruct(events: DataFrame) -> DataFrame:
-    """Final messages of ``events(conv_id, seq, kind, target, role, text)``: (conv_id, turn, nth, role, text).
+    """Final messages of ``events(conv_id, message, turn, seq, kind, role, text)``: (conv_id, turn, nth, role, text).
 
-    ``target`` is the seq of the message that a delta, an edit or a regeneration is about; for a message it is unused.
-    They apply in the order of seq, whatever the order of rows. Several messages of one seq are all kept, in the order
-    of role and text, and changes go to the first. Changes to a message that isn't there are left out. Null texts and
-    roles are empty; a null conv_id or seq is a value like any other and comes first. Other columns are left aside; no
-    events give no rows.
+    ``message`` names a message within its conversation; ``turn`` and ``role`` are those of its ``message`` event. Changes
+    apply in the order of seq, then kind and text, whatever the order of rows. Several ``message`` events of one name are
+    all kept, in the order of turn, role and text, and changes go to the first. Changes to a message that isn't there
+    and events of unknown kinds are left out. Null texts and roles are empty; a null conv_id, name, turn or seq is a value
+    like any other and comes first. Other columns are left aside; no events give no rows.
     """
     e = events.select(
-        "conv_id", F.when(F.col("kind") == "message", F.col("seq")).otherwise(F.col("target")).alias("turn"),
+        "conv_id", "message",
         F.struct(
-            (F.col("kind") != "message").alias("change"), "seq", F.coalesce("kind", F.lit("")).alias("kind"),
-            F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+            (F.col("kind") != "message").alias("change"), F.when(F.col("kind") == "message", F.col("turn")).alias("turn"),
+            F.when(F.col("kind") == "message", F.coalesce("role", F.lit(""))).alias("role"), "seq", "kind", F.coalesce("text", F.lit("")).alias("text"),
         ).alias("e"),
-    )
-    # Messages sort before changes; both by seq, then by kind, role and text.
-    grouped = e.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list("e")).alias("es"))
-    final = F.expr("""
-        transform(filter(es, x -> not x.change), (m, i) -> named_struct('nth', i, 'role', m.role, 'text',
-            if(i > 0 or size(es) = 1, m.text,
-               aggregate(filter(es, x -> x.change), m.text, (a, x) ->
-                   case x.kind when 'delta' then a || x.text when 'edit' then x.text when 'regenerate' then x.text else a end))))""")
-    return grouped.select("conv_id", "turn", F.inline(final))
+    ).where("e.kind in ('message', 'delta', 'edit', 'regenerate')")
+    grouped = e.groupBy("conv_id", "message").agg(F.sort_array(F.collect_list("e")).alias("es"))
+    # A message's text is what came after its last edit or regeneration, with that or the message itself before it.
+    last = "array_max(transform(es, (x, i) -> if(x.kind in ('edit', 'regenerate'), i, 0)))"
+    changed = f"if({last} > 0, slice(es, {last} + 1, size(es)), concat(slice(es, 1, 1), filter(es, x -> x.change)))"
+    final = F.expr(f"""
+        transform(filter(es, x -> not x.change), (m, i) -> named_struct('turn', m.turn, 'nth', i, 'role', m.role, 'text',
+            if(i > 0, m.text, array_join(transform({changed}, x -> x.text), ''))))""")
+    return grouped.select("conv_id", F.inline(final))
 
 
 def render(messages: DataFrame, learned: str = "assistant") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat import read_back, reconstruct, render
+from .chat import read_back, reconstruct, render, streamed
 from .jaccard import jaccard_groups
 from .licenses import scan_licenses
 from .lines import dedup_lines
@@ -81,8 +81,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
     rows = rows.unionByName(more)
-    events = rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("long").alias("target"), "role", "text")
-    return read_back(render(reconstruct(events)))
+    return read_back(render(reconstruct(streamed(rows))))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
