@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import arrow_map
+
 #: Keys that the cuts are chosen from; they balance the work and decide nothing.
 CUT_SAMPLE = 20_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -38,8 +40,11 @@ def _reversed(host: Column) -> Column:
 
 
 def _cuts(pages: DataFrame, n: int) -> list[tuple[str, int]]:
-    rows = pages.select("key", "tie").orderBy(F.xxhash64("key", "tie")).limit(CUT_SAMPLE).collect()
-    found = sorted((r.key, r.tie) for r in rows)
+    """Bounds of n ranges of about equal size, from a sample thinned by hash where the pages are: what the driver gets
+    doesn't grow with the pages or their partitions."""
+    share = CUT_SAMPLE / max(1, pages.count())
+    thin = pages.select("key", "tie").where(F.abs(F.xxhash64("tie", "key") / F.lit(float(1 << 63))) < share)
+    found = sorted((r.key, r.tie) for r in thin.limit(2 * CUT_SAMPLE).collect())
     return sorted({found[len(found) * i // n] for i in range(1, n)}) if found else []
 
 
@@ -49,7 +54,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     A rule fits its host and all subdomains if the url's path starts with the rule's path. Of those that fit, the one
     of the longest host wins, then of the longest path, then of the smaller verdict. Returns page_id, host, path, rule
     (host and path, or null) and verdict (``default`` where no rule fits). A null url, or one without ``://``, has an
-    empty host and path. A rule of a null host or verdict is left out; a null path is an empty one. Repeated rows are judged each for
+    empty host and path. Whole urls are judged, however long. A rule of a null host or verdict is left out; a null path is an empty one. Repeated rows are judged each for
     itself; other columns, whatever their names, are left aside; an empty table gives no rows.
     """
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -75,7 +80,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
 
     rules = rules.where("host is not null and verdict is not null").select("host", F.coalesce("path", F.lit("")).alias("path"), "verdict").distinct()
     rules = rules.withColumn("key", _reversed(F.col("host")))
-    both = pages.mapInArrow(place_pages, schema).unionByName(rules.mapInArrow(place_rules, schema))
+    both = arrow_map(pages, place_pages, schema).unionByName(arrow_map(rules, place_rules, schema))
     both = both.repartition(n, "range").sortWithinPartitions("range", "key", "kind", F.length("path").desc(), "path", "verdict")
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,4 +102,4 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
                 rows.append((page, host, path, *found))
             yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), *[pa.string()] * 4))], names=["page_id", "host", "path", "rule", "verdict"])
 
-    return both.mapInArrow(sweep, "page_id long, host string, path string, rule string, verdict string")
+    return arrow_map(both, sweep, "page_id long, host string, path string, rule string, verdict string")
