@@ -26,8 +26,9 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .columns import arrow_map, coded, documents, hashes, mix, slices, starts, words
+from .columns import arrow_map, coded, documents, hashes, mix, numbered, slices, starts, words
 from .components import connected
 from .scratch import discard, stash
 
@@ -127,33 +128,36 @@ def _overlap(percent: int, total: np.ndarray | int) -> np.ndarray | int:
 
 
 def _sets(docs: DataFrame, width: int, percent: int, order: np.ndarray) -> DataFrame:
-    """One row for each document: id, number of shingles, the set's name (128 bits), its prefix and its parity sketch.
+    """One row for each document: its columns but text, number of shingles, the set's name (128 bits), its prefix and its
+    parity sketch.
 
     Prefix and sketch stand at the first row of each name in a task only.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_ranks(order))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    own_columns = [c for c in docs.columns if c != "text"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                out: tuple[list, ...] = ([], [], [], [], [], [])
-                for doc, own in zip(part.column("doc_id").to_pylist(), _token_sets(part.column("text"), width, shared.value), strict=True):
-                    values = [doc, len(own), None, None, None, None]
+                out: tuple[list, ...] = ([], [], [], [], [])
+                for own in _token_sets(part.column("text"), width, shared.value):
+                    values = [len(own), None, None, None, None]
                     if len(own):
                         name = xxhash.xxh3_128_digest(own)
-                        values[2:4] = np.frombuffer(name, np.int64).tolist()
+                        values[1:3] = np.frombuffer(name, np.int64).tolist()
                         if name not in seen:
                             seen.add(name)
                             size = max(PARITY_BITS, 1 << (len(own) // 2).bit_length())
                             bits = np.bincount((mix(own) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
-                            values[4:] = own[: len(own) - (percent * len(own) + 99) // 100 + 1].tobytes(), np.packbits(bits.astype(np.uint8)).tobytes()
+                            values[3:] = own[: len(own) - (percent * len(own) + 99) // 100 + 1].tobytes(), np.packbits(bits.astype(np.uint8)).tobytes()
                     for column, value in zip(out, values, strict=True):
                         column.append(value)
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["doc_id", "n_shingles", "k1", "k2", "tokens", "parity"])
+                columns = [pa.array(x, t) for x, t in zip(out, kinds, strict=True)]
+                yield pa.record_batch([*map(part.column, own_columns), *columns], names=[*own_columns, "n_shingles", "k1", "k2", "tokens", "parity"])
 
-    return arrow_map(docs, build, "doc_id long, n_shingles long, k1 long, k2 long, tokens binary, parity binary")
+    return arrow_map(docs, build, "".join(f"{c} long, " for c in own_columns) + "n_shingles long, k1 long, k2 long, tokens binary, parity binary")
 
 
 def _whole(docs: DataFrame, width: int, order: np.ndarray, wanted: DataFrame) -> DataFrame:
@@ -296,18 +300,9 @@ def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, perce
     return out
 
 
-def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Groups of documents linked by a Jaccard similarity of ``percent`` / 100 or more of their word shingles.
-
-    Takes ``docs(doc_id, text, ...)``, doc_id being an integer of any width; other columns, whatever their names, are left
-    aside. Returns one row for each row of ``docs``: doc_id, n_shingles (size of its set), component_id (smallest doc_id
-    reachable by links). Words are split at ASCII white space, with A-Z lower-cased; whole texts are taken, however long.
-    Null, empty and blank texts have no shingles, link with nothing and are their own component. Repeated rows are equal
-    sets and so linked; rows of one doc_id and unlike texts are sets of their own. Rows with a null doc_id take part, but
-    name no component unless nothing else could (then it is null). An empty table gives no rows. Shingles are compared by
-    54 bits of a hash, and sets are named by 128.
-    """
-    docs = documents(docs)
+def _grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs(doc_id, text, ...)``, whose other columns are longs, without their text: with n_shingles and a set's
+    name (k1, k2), null without shingles; and the sets: k1, k2, the root of their group, and the smallest doc_id in it."""
     order = _frequencies(docs, width)
     every = stash(_sets(docs, width, percent, order), "shingled")
     first = [F.first(c, ignorenulls=True).alias(c) for c in ("n_shingles", "tokens", "parity")]
@@ -353,9 +348,61 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     roots = connected(links.unionByName(more))
 
     named = sets.select("k1", "k2", "sid", "least").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("k1", "k2", "component")
-    return every.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("k1").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    named = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("k1", "k2", "root", "component")
+    return every.drop("tokens", "parity"), named
+
+
+def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """Groups of documents linked by a Jaccard similarity of ``percent`` / 100 or more of their word shingles.
+
+    Takes ``docs(doc_id, text, ...)``, doc_id being an integer of any width; other columns, whatever their names, are left
+    aside. Returns one row for each row of ``docs``: doc_id, n_shingles (size of its set), component_id (smallest doc_id
+    reachable by links). Words are split at ASCII white space, with A-Z lower-cased; whole texts are taken, however long.
+    Null, empty and blank texts have no shingles, link with nothing and are their own component. Repeated rows are equal
+    sets and so linked; rows of one doc_id and unlike texts are sets of their own. Rows with a null doc_id take part, but
+    name no component unless nothing else could (then it is null). An empty table gives no rows. Shingles are compared by
+    54 bits of a hash, and sets are named by 128.
+    """
+    docs = documents(docs)
+    every, named = _grouped(documents(docs), width, percent)
+    component = F.when(F.col("k1").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    return every.join(named, ["k1", "k2"], "left").select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def dedup_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with their columns, of which one stays of each group that `jaccard_groups` finds.
+
+    It is the row of the smallest doc_id, a null one being the largest; among rows of one doc_id a hash decides, and of
+    rows with equal doc_id and text any one stays. Rows are told apart by doc_id and text, so that a doc_id used twice
+    loses no text. Texts without words are in no group, and all stay, repeated or not. Other columns, whatever their names,
+    pass through; an empty table gives no rows.
+    """
+    names = docs.columns
+    own, key, text = numbered(docs)
+    columns = own.columns
+    doc, said = F.col(key).cast("long"), F.col(text).cast("string")
+    own = own.withColumn("h1", F.xxhash64(doc, said)).withColumn("h2", F.xxhash64(F.lit("second"), said, doc))
+    bare = ~F.coalesce(said, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    full = own.where(~bare)
+    every, named = _grouped(full.select(doc.alias("doc_id"), said.alias("text"), "h1", "h2"), width, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")).alias("first")
+    # Of each set first, which is many rows, then of each group.
+    of_set = every.groupBy("k1", "k2").agg(first).join(named.select("k1", "k2", "root"), ["k1", "k2"])
+    kept = of_set.groupBy("root").agg(F.min("first").alias("first")).select("first.h1", "first.h2")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Repeated rows of a task go, so that they don't meet in one task later."""
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            keep = []
+            for name in zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), strict=True):
+                keep.append(name not in seen)
+                seen.add(name)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    full = arrow_map(full, once, StructType([StructField(f.name, f.dataType) for f in full.schema]))
+    rows = full.join(stash(kept, "kept"), ["h1", "h2"]).dropDuplicates(["h1", "h2"])
+    return rows.select(columns).unionByName(own.where(bare).select(columns)).toDF(*names)
 
 
 def _band(percent: int, n: Column) -> Column:

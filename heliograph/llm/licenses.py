@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .columns import coded, ragged, slices, starts, texts
+from .columns import arrow_map, coded, documents, ragged, slices, starts, texts
 
 #: Phrases whose places are all counted, and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -176,4 +176,4 @@ def scan_licenses(docs: DataFrame, phrases: tuple = PHRASES, templates: tuple =
                 columns = (part.column("doc_id"), counts, n_base, pa.array(first, mask=none), pa.array(last, mask=none), *said, covered / np.maximum(counts, 1))
                 yield pa.record_batch([c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return arrow_map(documents(docs), scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import slices, starts, texts
+from .columns import arrow_map, documents, slices, starts, texts
 
 MARK = "▁"
 #: Pairs of pieces that a worker remembers.
@@ -193,7 +193,7 @@ def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
                 raw = ids.astype("<i4").tobytes()
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "n_ids": pa.array(counts), "ids": pa.array([raw[4 * a : 4 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_ids long, ids binary")
+    return arrow_map(documents(docs), run, "doc_id long, n_ids long, ids binary")
 
 
 def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
@@ -208,4 +208,4 @@ def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
                 "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), "text": pa.array([model.decode(x) for x in ids], pa.string()),
             })
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, text string")
+    return arrow_map(encoded.select("doc_id", "ids"), run, "doc_id long, n_ids long, ids_crc32 long, text string")

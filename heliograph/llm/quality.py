@@ -40,7 +40,6 @@ BASE = (
 )
 #: What running text meets besides.
 PROSE = (
-    Rule("most words", "n_words", 0, 1_000_000),
     Rule("word length", "word_chars / n_words", 2, 14),
     Rule("symbols for each word", "n_symbols / n_words", 0, 0.1),
     Rule("stop words", "n_stop / n_words", 0.02, 1),
@@ -116,5 +115,8 @@ def quality_report(docs: DataFrame, base: tuple[Rule, ...] = BASE, rules: tuple[
 
 
 def quality_filter(docs: DataFrame, base: tuple[Rule, ...] = BASE, rules: tuple[Rule, ...] = PROSE) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns."""
+    """The rows of ``docs`` that pass `quality_report`, with all their columns, whatever their names.
+
+    Null, empty and blank texts go, repeated rows are judged each for itself, an empty table gives no rows.
+    """
     return docs.where(F.expr(_measures(_passes(base + rules))))
