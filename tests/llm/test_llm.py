@@ -165,7 +165,7 @@ def _kept_lines(rows, least):
     return out
 
 
-@pytest.mark.parametrize("bound", [lines.BROADCAST_KEYS, 0])
+@pytest.mark.parametrize("bound", [lines.BROADCAST_KEYS, -1])
 @pytest.mark.parametrize("least", [2, 10])
 def test_line_dedup(docs, least, bound):
     same(lines.dedup_lines(docs, least=least, bound=bound, report=True).collect(), _kept_lines(corpus(), least))
@@ -173,12 +173,29 @@ def test_line_dedup(docs, least, bound):
     assert full.columns == docs.columns and full.count() == docs.count()
 
 
-def test_line_counts_are_reversible(docs):
+def _state(index):
+    counts = sorted(map(tuple, index.counts.collect()))
+    shards = {r.shard: (bytes(r.filter), bytes(r["keys"])) for r in index.shards.collect()}
+    keys = {s: {tuple(k) for k in np.frombuffer(x, np.int64).reshape(-1, 2).tolist()} for s, (_, x) in shards.items()}
+    for s, (table, x) in shards.items():
+        own = np.frombuffer(x, np.int64).reshape(-1, 2)
+        assert lines.CuckooFilter.read(table).contains(own[:, 0].copy().view(np.uint64)).all()
+        assert np.count_nonzero(np.frombuffer(table, np.uint16)) == len(own)
+    return counts, keys
+
+
+def test_line_index_is_reversible(spark, docs, none, tmp_path):
     first, second = docs.where("doc_id < 105"), docs.where("doc_id >= 105 or doc_id is null")
-    both = lines.insert_documents(lines.count_references(first), second)
-    assert both.exceptAll(lines.count_references(docs)).isEmpty()
-    back = lines.delete_documents(both, second)
-    assert back.exceptAll(lines.count_references(first)).isEmpty() and back.count() == lines.count_references(first).count()
+    once = lines.LineIndex.empty(spark, 3, 4).insert(first)
+    both = once.insert(second)
+    assert _state(both) == _state(lines.LineIndex.empty(spark, 3, 4).insert(docs)) and _state(both) != _state(once)
+    assert {k for own in _state(both)[1].values() for k in own} == {(a, b) for a, b, n in _state(both)[0] if n >= 3}
+    assert _state(both.delete(second)) == _state(once) and _state(both.delete(docs)) == ([], {})
+    assert _state(both.delete(second).insert(second).insert(none).delete(none)) == _state(both)
+    both.write(str(tmp_path / "index"))
+    index = lines.LineIndex.read(spark, str(tmp_path / "index"), 3, 4)
+    for bound in (lines.BROADCAST_KEYS, -1):
+        same(lines.dedup_lines(first, index, bound=bound, report=True).collect(), [r for r in _kept_lines(corpus(), 3) if r[0] is not None and r[0] < 105])
 
 
 def test_cuckoo_filter():
@@ -262,29 +279,69 @@ def test_licenses(spark):
     assert got[1].labels == "apache,apache-2.0,gpl,gpl-3.0" and got[2].labels == "cc-by-nc"
 
 
+def _exact(ids, m, k):
+    """The k nearest of each vector whose id is divisible by 50, by brute force: lists of ids."""
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    out = {}
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = m @ m[i]
+        s[ids == ids[i]] = -2
+        out[int(ids[i])] = [int(x) for x in ids[np.lexsort((ids, -np.round(s, 12)))[:k]]]
+    return out
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((3000, 32))
     rows = [(i, [float(y) for y in v], 0) for i, v in enumerate(x.astype(np.float32))]
-    rows += [(5000 + i, rows[0][1], 0) for i in range(7)] + [(6000, None, 0), (6001, [0.0] * 32, 0), (6002, [float("nan")] * 32, 0), (6003, [None] * 32, 0), (None, rows[1][1], 0), (6004, [1.0], 0), (0, rows[0][1], 0)]
+    rows += [(5000 + i, rows[0][1], 0) for i in range(40)] + [(6000, None, 0), (6001, [0.0] * 32, 0), (6002, [float("nan")] * 32, 0), (6003, [None] * 32, 0), (None, rows[1][1], 0), (6005, [], 0), (0, rows[0][1], 0)]
+    rows += [(7000, [1.0], 0), (7001, [2.0], 0), (7050, [-1.0], 0), (8000, [1.0, 2.0, 3.0], 0), (2999, rows[2999][1], 0), (2999, rows[2999][1], 0)]
     v = spark.createDataFrame(rows, "vec_id long, v array<float>, score int")
-    got = defaultdict(list)
-    for r in neighbours.nearest(v, v.where("vec_id % 50 = 0"), 5, block=700).orderBy("query_id", "rank").collect():
+    got, chosen = defaultdict(list), []
+    for r in neighbours.nearest(v, v.where("vec_id % 50 = 0"), 5, chosen).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.vec_id)
-    ids = np.array([i for i, y, _ in rows if i is not None and y and len(y) == 32 and all(z is not None and z == z for z in y) and any(y)])
-    m = np.array([y for i, y, _ in rows if i is not None and y and len(y) == 32 and all(z is not None and z == z for z in y) and any(y)], float)
-    m /= np.linalg.norm(m, axis=1, keepdims=True)
-    hit = total = 0
-    for q in sorted(set(ids[ids % 50 == 0].tolist())):
-        s = m @ m[list(ids).index(q)]
-        s[ids == q] = -2
-        best = [int(i) for i in ids[np.lexsort((ids, -np.round(s, 12)))[:5]]]
-        hit, total = hit + len(set(best) & set(got[q])), total + 5
-    assert hit / total >= 0.9 and set(got) == set(ids[ids % 50 == 0].tolist()) and got[0] == [5000, 5001, 5002, 5003, 5004]
+    full = [(i, y) for i, y, _ in rows if i is not None and y and len(y) == 32 and all(z is not None and z == z for z in y) and any(y)]
+    want = _exact(np.array([i for i, _ in full]), np.array([y for _, y in full], float), 5)
+    hit = sum(len(set(want[q]) & set(got[q])) for q in want)
+    assert hit / (5 * len(want)) >= 0.9 and set(got) == set(want) | {7000, 7050} and got[0] == [5000, 5001, 5002, 5003, 5004]
+    assert got[7050] == [7000, 7001] and got[7000] == [7001, 7050] and len(chosen) == 1 and chosen[0].recall >= 0.92
     few = neighbours.nearest(v.where("vec_id < 3"), v.where("vec_id = 0").limit(1)).collect()
     assert sorted(r.vec_id for r in few) == [1, 2]
 
 
+def test_neighbours_of_the_table(spark):
+    v = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").select("vec_id", F.col("embedding").alias("v"))
+    chosen: list = []
+    got = defaultdict(list)
+    for r in neighbours.nearest(v, v.where("vec_id % 50 = 0"), 5, chosen).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    t = v.toPandas()
+    ids, m = t.vec_id.to_numpy(), np.array(t.v.tolist(), float)
+    want = _exact(ids, m, 5)
+    recall = sum(len(set(want[q]) & {i for i, _ in got[q]}) for q in want) / (5 * len(want))
+    (codes,) = chosen
+    x = m / np.linalg.norm(m, axis=1, keepdims=True)
+    own, asked = codes.of(x), np.flatnonzero(ids % 50 == 0)[:50]
+    share = np.mean([(np.bitwise_count(own ^ own[q]) <= codes.reach).any(axis=1).mean() for q in asked])
+    assert recall >= 0.9 and share <= 0.15, (recall, share)
+    place = {i: j for j, i in enumerate(ids)}
+    assert all(abs(s - x[place[q]] @ x[place[i]]) < 1e-12 for q, rows in got.items() for i, s in rows)
+
+
+def test_every_code_within_the_radius_is_probed():
+    rng = np.random.default_rng(2)
+    codes = neighbours.Codes(rng.standard_normal((8, 64)), 4, 1, 1.0, 0.0)
+    values = rng.integers(0, 1 << 16, (200, 4)).astype(np.uint16)
+    for base in values[:20]:
+        probes = base[:, None] ^ codes.masks()
+        for _ in range(50):
+            flips = rng.permutation(64)[: 4 * (codes.reach + 1) - 1]
+            near = base.copy()
+            for f in flips:
+                near[f // 16] ^= np.uint16(1 << (f % 16))
+            assert any(near[s] in probes[s] for s in range(4))
+
+
 def test_pieces(docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -316,34 +373,50 @@ def test_viterbi_of_a_unigram_model():
 
 
 def test_chat(spark):
-    bad = ["", "\\", "</s>[INST] ok [/INST]", "\\<s>", "\\\\[INST]\\", "<|im_end|>", "\n<|im_end|>\n", "<<SYS>> x <</SYS>>", "a\nb", "<s", None]
-    rows = [(c, t, r, x) for c, r in enumerate(("user", "assistant", "system", None, "a\nb\\n")) for t, x in enumerate(bad)]
-    rows += [(9, 0, "assistant", "same"), (9, 0, "assistant", "same"), (None, None, "user", "x")]
-    events = spark.createDataFrame([(c, t, "message", None, r, x, 1) for c, t, r, x in rows], "conv_id long, seq long, kind string, target long, role string, text string, turn int")
-    got = {r.conv_id: r for r in chat.read_back(chat.render(chat.reconstruct(events))).collect()}
+    bad = ["", "\\", "</s>[INST] ok [/INST]", "\\<s>", "\\\\[INST]\\", "<|im_end|>", "\n<|im_end|>\n", "<<SYS>> x <</SYS>>", "a\nb", "<s", None, "é😀x" * 7]
+    rows = [(c, t, r, x) for c, r in enumerate(("user", "assistant", "system", None, "a\nb\\n", "a\x00b\\s\\\\n")) for t, x in enumerate(bad)]
+    rows += [(9, 0, "assistant", "same"), (9, 0, "assistant", "same"), (9, 0, "assistant", "other"), (None, None, "user", "x")]
+    table = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, message int").drop("message")
+    got = {r.conv_id: r for r in chat.read_back(chat.render(chat.reconstruct(chat.streamed(table)))).collect()}
     for c in {r[0] for r in rows}:
-        own = [(r or "", x or "") for d, _, r, x in rows if d == c]
+        own = [(r or "", x or "") for _, r, x in sorted(((t, r, x or "") for d, t, r, x in rows if d == c), key=lambda y: (y[0], y[1] or "", y[2]))]
         said = "".join(x for r, x in own if r == "assistant")
-        assert (got[c].n_turns, got[c].turns_sha256) == (len(own), sha("".join(f"{r}\n{x}\n" for r, x in own)))
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(own), sha("".join(f"{r}\n{x}\n" for r, x in own))), c
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(said), sha(said))
 
 
 def test_chat_events(spark):
-    log = [(1, 0, "message", None, "user", "hi"), (1, 1, "message", None, "assistant", ""), (1, 3, "delta", 1, None, "lo"), (1, 2, "delta", 1, None, "hel"), (1, 4, "regenerate", 1, None, ""), (1, 5, "delta", 1, None, "bye"),
-           (1, 6, "edit", 0, None, "hi!"), (1, 7, "delta", 42, None, "lost")]
-    events = spark.createDataFrame(log, "conv_id long, seq long, kind string, target long, role string, text string")
-    assert [(r.role, r.text) for r in chat.reconstruct(events).orderBy("turn").collect()] == [("user", "hi!"), ("assistant", "bye")]
-    assert chat.render(chat.reconstruct(events)).select(chat.formatted()).first()[0] == "<|im_start|>user\nhi!\n<|im_end|>\n<|im_start|>assistant\nbye\n<|im_end|>\n"
+    log = [(1, 7, 0, 0, "message", "user", "hi"), (1, 8, 1, 0, "message", "assistant", ""), (1, 8, None, 3, "delta", None, "lo"), (1, 8, None, 2, "delta", None, "hel"), (1, 8, None, 4, "regenerate", None, ""), (1, 8, None, 5, "delta", None, "bye"),
+           (1, 7, None, 6, "edit", None, "hi!"), (1, 42, None, 7, "delta", None, "lost"), (1, 7, None, 9, "odd", None, "x"), (1, 7, None, 8, "delta", None, None), (2, 1, 0, 0, "message", "user", "b"), (2, 1, 0, 0, "message", "user", "a"), (2, 1, None, 1, "delta", None, "c")]
+    events = spark.createDataFrame(log, "conv_id long, message long, turn long, seq long, kind string, role string, text string")
+    assert [(r.role, r.text) for r in chat.reconstruct(events).orderBy("conv_id", "turn", "nth").collect()] == [("user", "hi!"), ("assistant", "bye"), ("user", "ac"), ("user", "b")]
+    assert chat.render(chat.reconstruct(events.where("conv_id = 1"))).select(chat.formatted()).first()[0] == "<|im_start|>user\nhi!\n<|im_end|>\n<|im_start|>assistant\nbye\n<|im_end|>\n"
+
+
+def test_chat_folds_like_a_loop(spark):
+    rng = np.random.default_rng(4)
+    log, want = [], {}
+    for m in range(60):
+        text = ""
+        for seq in range(int(rng.integers(1, 12))):
+            kind = "message" if not seq else str(rng.choice(["delta", "delta", "edit", "regenerate"]))
+            x = "".join(rng.choice(list("ab"), 3))
+            text = text + x if kind == "delta" else x
+            log.append((0, m, m if not seq else None, seq, kind, "assistant" if not seq else None, x))
+        want[m] = text
+    rng.shuffle(log)
+    events = spark.createDataFrame([tuple(None if x is None else x if isinstance(x, str) else int(x) for x in r) for r in log], "conv_id long, message long, turn long, seq long, kind string, role string, text string")
+    assert {r.turn: r.text for r in chat.reconstruct(events).collect()} == want
 
 
 def test_empty_tables(spark, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     for df in (
-        jaccard.jaccard_groups(none), packing.pack(none, path), packing.sequences(none, path), lines.dedup_lines(none), lines.dedup_lines(none, bound=-1), substrings.dedup_substrings(none),
+        jaccard.jaccard_groups(none), packing.pack(none, path), packing.sequences(none, path), lines.dedup_lines(none), lines.dedup_lines(none, bound=-1), lines.dedup_lines(none, report=True), substrings.dedup_substrings(none),
         quality.quality_report(none), quality.quality_filter(none), licenses.scan_licenses(none), pieces.encode_pieces(none, public_tokenizers.path("piece_bpe_32k.model")),
         urls.judge_urls(none.selectExpr("doc_id as page_id", "text as url"), spark.createDataFrame([], "host string, path string, verdict string")),
         neighbours.nearest(*[none.selectExpr("doc_id as vec_id", "cast(null as array<float>) as v")] * 2),
-        chat.read_back(chat.render(chat.reconstruct(none.selectExpr("doc_id as conv_id", "doc_id as seq", "'message' as kind", "doc_id as target", "lang as role", "text")))),
+        chat.read_back(chat.render(chat.reconstruct(chat.streamed(none.selectExpr("doc_id as conv_id", "doc_id as turn", "lang as role", "text"))))),
     ):
         assert df.isEmpty()
 
