@@ -3,8 +3,9 @@
 Rotations are learned on a bounded sample (iterative quantization) and turn each vector into a long binary code, which is
 cut into substrings of 16 bits. Each substring is indexed: an entry (substring, value) leads to the rows that hold it.
 A query probes every value within ``reach`` bits of its own, in each substring, so that by the pigeonhole principle every
-row whose code is within a Hamming radius of substrings * (reach + 1) - 1 is retrieved (and many beyond it). Entries and
-probes meet in a plain equi-join; what they retrieve is reranked by the exact cosine of the original vectors.
+row whose code is within a Hamming radius of substrings * (reach + 1) - 1 is retrieved (and many beyond it). What is
+retrieved is reranked by the exact cosine of the original vectors. Each task indexes the rows that it has; queries come to
+the rows, block by block, so that nothing but the best few rows for each query is shuffled.
 
 Number of substrings and reach are chosen by the true neighbours of a few sampled rows: enough of them have to be
 retrieved, by as few candidates as possible. Equal vectors are indexed once, whatever the number of rows that hold them.
@@ -18,6 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +34,8 @@ SUB, TURN, TURNS = 16, 64, 32
 MOST_REACH = 4
 #: Recall that is promised, and by how many standard deviations of what so many queries measure it has to be exceeded.
 RECALL, MARGIN = 0.9, 3
-#: Queries whose vectors a task holds at once; ways that the rows of a block of queries are dealt out; pairs scored at once.
-BLOCK, SALTS, PAIRS = 8192, 16, 16_384
+#: Queries that are broadcast at once; rows that are indexed at once, about; pairs scored at once, about.
+BLOCK, CHUNK, PAIRS = 8192, 16_384, 16_384
 #: Vectors of a length that fewer rows have aren't indexed, but compared with all queries of that length.
 INDEXED = 1000
 
@@ -167,65 +169,79 @@ class _Best:
 _FOUND = "query_id long, vec_id long, score double"
 
 
-def _retrieved(vectors: DataFrame, asked: DataFrame, codes: Codes, k: int) -> DataFrame:
-    """Best rows found by the index, for each query and task: (query_id, vec_id, score)."""
-    shared = vectors.sparkSession.sparkContext.broadcast(codes)
+class MultiIndex:
+    """Inverted tables of one chunk of rows: for each substring and value, the rows that hold it, found by address."""
+
+    def __init__(self, values: np.ndarray, masks: np.ndarray):
+        self.rows, self.masks = len(values), masks
+        self.order = np.argsort(values, axis=0, kind="stable").T.astype(np.int32)
+        counts = np.zeros((values.shape[1], (1 << SUB) + 1), np.int32)
+        for s in range(values.shape[1]):
+            counts[s, 1:] = np.bincount(values[:, s], minlength=1 << SUB)
+        self.begin = np.cumsum(counts, axis=1, dtype=np.int32)
+
+    def probe(self, value: np.ndarray) -> np.ndarray:
+        """Every row that holds, in some substring, a value that differs from the query's in as many bits as masks allow."""
+        near = value[:, None] ^ self.masks
+        turn = np.arange(len(value))[:, None]
+        first = self.begin[turn, near]
+        size = self.begin[turn, near.astype(np.int64) + 1] - first
+        first = (first + turn * self.rows)[size > 0]
+        size = size[size > 0]
+        ends = np.cumsum(size)
+        seen = np.zeros(self.rows, bool)
+        if len(ends):
+            seen[self.order.ravel()[np.arange(ends[-1]) + np.repeat(first - ends + size, size)]] = True
+        return np.flatnonzero(seen)
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        turn = np.arange(own.substrings, dtype=np.int32) << SUB
-        for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                x, norm = _unit(part)
-                slot = own.of(x / norm[:, None]).astype(np.int32) | turn
-                yield pa.record_batch({"slot": pa.array(slot.ravel()), "row": pa.array(np.repeat(part.column("row").to_numpy(), own.substrings))})
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        turn, masks = np.arange(own.substrings, dtype=np.int32) << SUB, own.masks()
-        for batch in batches:
-            for part in (batch.slice(i, 16) for i in range(0, batch.num_rows, 16)):
-                x, norm = _unit(part)
-                slot = (own.of(x / norm[:, None])[:, :, None] ^ masks).astype(np.int32) | turn[:, None]
-                yield pa.record_batch({"slot": pa.array(slot.ravel()), "query": pa.array(np.repeat(part.column("query").to_numpy(), slot[0].size))})
 
+def _retrieved(vectors: DataFrame, asked: DataFrame, codes: Codes, k: int) -> DataFrame:
+    """Best rows found by the index, for each query and task: (query_id, vec_id, score).
+
+    A task indexes its rows, chunk by chunk, and probes them for a block of queries that is broadcast: rows don't move,
+    and what does are k rows for each query and task.
+    """
+    out = vectors.sparkSession.createDataFrame([], _FOUND)
     blocks = -(-asked.count() // BLOCK)
-    entries = arrow_map(vectors.select("row", "v"), index, "slot int, row long")
-    probes = arrow_map(asked.select("query", "v"), probe, "slot int, query long")
-    block = F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")
-    pairs = entries.join(probes, "slot").select(block.alias("block"), "row", "query").groupBy("block", "row").agg(F.collect_list("query").alias("queries"))
-    rows = pairs.join(vectors, "row").select("block", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("kind"), "queries", "v", "ids")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    own = asked.select(block.alias("block"), salts, F.lit(0).alias("kind"), F.array("query").alias("queries"), "v", F.array("query").alias("ids"))
-    dealt = own.unionByName(rows).repartition("block", "salt").sortWithinPartitions("block", "salt", "kind")
-
-    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, best, held = None, None, []
-        for batch in batches:
-            key = batch.column("block").to_numpy().astype(np.int64) * SALTS + batch.column("salt").to_numpy()
-            kind = batch.column("kind").to_numpy()
-            cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]), [True]))) if len(key) else []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                part = batch.slice(a, b - a)
-                if kind[a] == 0:
-                    if key[a] != now:
-                        if best:
-                            yield best.rows()
-                        now, best, held = key[a], None, []
-                    held.append((_numbers(part.column("ids"), np.int64), *_unit(part)))
-                    continue
-                if best is None:
-                    best, held = _Best(*(np.concatenate(x) for x in zip(*held, strict=True)), k), []
-                asked_by = part.column("queries").value_lengths().to_numpy()
-                row, query = np.repeat(np.arange(part.num_rows), asked_by), _numbers(part.column("queries"), np.int64)
-                order = np.lexsort((query, row))
-                row, query = row[order], query[order]
-                new = np.concatenate(([True], (row[1:] != row[:-1]) | (query[1:] != query[:-1])))
-                best.add(row[new], query[new], *_unit(part), _numbers(part.column("ids"), np.int64), part.column("ids").value_lengths().to_numpy())
-        if best:
-            yield best.rows()
-
-    return arrow_map(dealt, rerank, _FOUND)
+    for b in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).select("query", "v").toArrow()
+        if block.num_rows:
+            x, norm = _unit(block)
+            shared = vectors.sparkSession.sparkContext.broadcast((codes, block.column("query").to_numpy(), x, norm))
+
+            def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                own, names, x, norm = shared.value
+                masks, values = own.masks(), own.of(x / norm[:, None])
+                best = _Best(names, x, norm, k)
+                for chunk in _chunks(batches):
+                    mine, mine_norm = _unit(chunk)
+                    ids, sizes = _numbers(chunk.column("ids"), np.int64), pc.list_value_length(chunk.column("ids")).to_numpy()
+                    index = MultiIndex(own.of(mine / mine_norm[:, None]), masks)
+                    held, pairs = [], 0
+                    for i in range(len(names)):
+                        rows = index.probe(values[i])
+                        held.append((rows, np.full(len(rows), names[i])))
+                        pairs += len(rows)
+                        if pairs >= PAIRS or i + 1 == len(names):
+                            best.add(*(np.concatenate(x) for x in zip(*held, strict=True)), mine, mine_norm, ids, sizes)
+                            held, pairs = [], 0
+                yield best.rows()
+
+            out = out.unionByName(arrow_map(vectors.select("v", "ids"), search, _FOUND))
+    return out
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches brought together until a chunk is full."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= CHUNK:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _fitted(vectors: DataFrame, sample: DataFrame, k: int, enough: float) -> Codes:
