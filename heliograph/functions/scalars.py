@@ -5,19 +5,23 @@ from __future__ import annotations
 import hashlib
 import hmac
 import struct
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Severity numbers of level names.
-SEVERITY = {"TRACE": 1, "DEBUG": 5, "INFO": 9, "WARN": 13, "ERROR": 17, "FATAL": 21}
+from . import cbor
+
+#: Severity numbers of level names, which are in lower case.
+SEVERITY = {"trace": 1, "debug": 5, "info": 9, "warn": 13, "error": 17, "fatal": 21}
 
 
 def severity_number(level: Column) -> Column:
-    out = F.when(F.upper(level) == "TRACE", SEVERITY["TRACE"])
+    """The number of a level; 0 for any other text, upper case included."""
+    out = F.when(level == "trace", SEVERITY["trace"])
     for name, number in list(SEVERITY.items())[1:]:
-        out = out.when(F.upper(level) == name, number)
+        out = out.when(level == name, number)
     return out.otherwise(0).cast("int")
 
 
@@ -59,44 +63,117 @@ def data_point_signature(start: int, time: int, attributes: dict, without: str)
     return struct.pack("<QQ", start, time) + _bytes_of({k: v for k, v in attributes.items() if k != without})
 
 
-def _cipher(data: bytes, key: bytes, rounds: int = 10) -> bytes:
-    """A Feistel network over bytes; the outcome is as long as the input."""
-    half = len(data) // 2
-    left, right = data[:half], data[half:]
-    for r in range(rounds):
-        pad, n = b"", 0
-        while len(pad) < len(left):
-            pad += hmac.new(key, bytes([r, n]) + right, hashlib.sha256).digest()
-            n += 1
-        left, right = right, bytes(a ^ b for a, b in zip(left, pad, strict=False))
-    return left + right
+def plain_value(v) -> object:
+    """A tagged value as a Python value; serialized ones are decoded."""
+    kind = v["type"]
+    if kind in (5, 6):
+        return cbor.decode(bytes(v["ser"]))
+    x = v[("none", "str", "int", "double", "bool", "none", "none", "bytes")[kind]] if kind else None
+    return bytes(x) if kind == 7 else int(x) if kind == 2 else bool(x) if kind == 4 else x
+
+
+def signature(start: Column, time: Column, attributes: Column, without: str) -> Column:
+    """`data_point_signature` of columns; ``attributes`` is a map of tagged values."""
+
+    @F.pandas_udf("binary")
+    def run(starts: pd.Series, times: pd.Series, maps: pd.Series) -> pd.Series:
+        rows = zip(starts.fillna(0), times.fillna(0), maps, strict=True)
+        return pd.Series([data_point_signature(int(s), int(t), {e["key"]: plain_value(e["value"]) for e in m}, without) for s, t, m in rows])
+
+    return run(start, time, F.coalesce(F.map_entries(attributes), F.array()))
+
+
+#: Printable ASCII characters are enciphered among themselves, and all others among the others.
+_LOW, _HIGH, _SURROGATES = 0x20, 0x7F, (0xD800, 0xE000)
+_ASCII = _HIGH - _LOW
+_OTHERS = 0x110000 - (_SURROGATES[1] - _SURROGATES[0]) - _ASCII
+
 
+def _digit(c: int) -> tuple[int, int]:
+    """A code point as a number below the size of its alphabet, and that size."""
+    if _LOW <= c < _HIGH:
+        return c - _LOW, _ASCII
+    c -= _SURROGATES[1] - _SURROGATES[0] if c >= _SURROGATES[1] else 0
+    return c - (_ASCII if c >= _HIGH else 0), _OTHERS
 
-def _decipher(data: bytes, key: bytes, rounds: int = 10) -> bytes:
-    half = len(data) // 2  # after an even number of rounds
-    left, right = data[:half], data[half:]
-    for r in reversed(range(rounds)):
-        pad, n = b"", 0
-        while len(pad) < len(right):
-            pad += hmac.new(key, bytes([r, n]) + left, hashlib.sha256).digest()
-            n += 1
-        left, right = bytes(a ^ b for a, b in zip(right, pad, strict=False)), left
-    return left + right
 
+def _point(digit: int, size: int) -> int:
+    if size == _ASCII:
+        return digit + _LOW
+    c = digit + (_ASCII if digit >= _LOW else 0)
+    return c + (_SURROGATES[1] - _SURROGATES[0] if c >= _SURROGATES[0] else 0)
+
+
+def _pad(key: bytes, number: int, half: list[int]):
+    """An endless row of numbers that one half, the round and the key determine."""
+    seed = b"".join(struct.pack(">I", d) for d in half)
+    block = 0
+    while True:
+        yield from struct.unpack(">4Q", hmac.new(key, struct.pack(">II", number, block) + seed, hashlib.sha256).digest())
+        block += 1
+
+
+def _feistel(digits: list[int], sizes: list[int], key: bytes, rounds: int, back: bool) -> list[int]:
+    """A Feistel network over digits of given alphabets: in each round one half is shifted by a pad made of the other."""
+    cut = len(digits) // 2
+    halves, alphabets = [digits[:cut], digits[cut:]], [sizes[:cut], sizes[cut:]]
+    for r in range(rounds - 1, -1, -1) if back else range(rounds):
+        own, other = r % 2, 1 - r % 2
+        pad = islice(_pad(key, r, halves[other]), len(halves[own]))
+        halves[own] = [(d - p if back else d + p) % n for d, p, n in zip(halves[own], pad, alphabets[own], strict=True)]
+    return halves[0] + halves[1]
+
+
+def encipher(value: str | bytes, key: bytes, back: bool = False, rounds: int = 10) -> str | bytes:
+    """Deterministic and keyed; a text keeps its number of characters and which of them are printable ASCII, bytes keep
+    their number. ``back`` deciphers."""
+    if isinstance(value, bytes):
+        return bytes(_feistel(list(value), [256] * len(value), key, rounds, back))
+    digits, sizes = [list(x) for x in zip(*(_digit(ord(c)) for c in value), strict=True)] if value else ([], [])
+    return "".join(chr(_point(d, n)) for d, n in zip(_feistel(digits, sizes, key, rounds, back), sizes, strict=True))
 
-def obfuscate(column: Column, key: bytes) -> Column:
-    """Deterministic, keyed, length-preserving in bytes; as hexadecimal."""
 
-    @F.pandas_udf("string")
+def _each(values: pd.Series, function) -> pd.Series:
+    """Distinct values are computed once for each batch."""
+    known = {v: function(v) for v in values.dropna().unique()}
+    return values.map(lambda v: None if v is None else known[v], na_action=None)
+
+
+def obfuscate(column: Column, key: bytes, kind: str = "string") -> Column:
+    """`encipher` of a column of strings or, with kind ``binary``, of bytes; nulls stay."""
+
+    @F.pandas_udf(kind)
+    def run(values: pd.Series) -> pd.Series:
+        return _each(values.map(lambda v: bytes(v) if isinstance(v, bytearray) else v, na_action=None), lambda v: encipher(v, key))
+
+    return run(column)
+
+
+def reveal(column: Column, key: bytes, kind: str = "string") -> Column:
+    """The inverse of `obfuscate` under the same key."""
+
+    @F.pandas_udf(kind)
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else _cipher(v.encode(), key).hex())
+        return _each(values.map(lambda v: bytes(v) if isinstance(v, bytearray) else v, na_action=None), lambda v: encipher(v, key, True))
 
     return run(column)
 
 
-def reveal(column: Column, key: bytes) -> Column:
-    @F.pandas_udf("string")
+def _within(value: object, key: bytes, back: bool) -> object:
+    if isinstance(value, str | bytes):
+        return encipher(value, key, back)
+    if isinstance(value, list):
+        return [_within(v, key, back) for v in value]
+    if isinstance(value, dict):
+        return {encipher(k, key, back): _within(v, key, back) for k, v in value.items()}
+    return value
+
+
+def obfuscate_ser(column: Column, key: bytes, back: bool = False) -> Column:
+    """Serialized maps and slices with every text, bytes value and key in them enciphered, on all levels."""
+
+    @F.pandas_udf("binary")
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else _decipher(bytes.fromhex(v), key).decode())
+        return values.map(lambda v: None if v is None else cbor.encode(_within(cbor.decode(bytes(v)), key, back)), na_action=None)
 
     return run(column)

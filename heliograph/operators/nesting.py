@@ -1,22 +1,38 @@
-"""Nested batches of traces to flat tables, and back.
+"""Nested batches of traces and logs to flat tables, and back.
 
-A batch is ARRAY<resource_spans>; flat tables carry batch_id, so that every join and window stays within a batch.
+A batch is an array of resources, with scopes and items below them; flat tables carry batch_id, so that every join and
+window stays within a batch. A row's parent is its place: r (resource), s (scope), i (item), n (event, link or point).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-VALUE = "struct<type:int,str:string,int:bigint,double:double,bool:boolean>"
-ATTRS = f"map<string,{VALUE}>"
+from .attributes import ATTRS, VALUE, VALUE_FIELDS
+
+EVENT = f"struct<time_ns:bigint,name:string,attributes:{ATTRS},dropped:bigint>"
+LINK = f"struct<trace_id:binary,span_id:binary,trace_state:string,attributes:{ATTRS},dropped:bigint>"
 SPAN = (
     f"struct<trace_id:binary,span_id:binary,trace_state:string,parent_span_id:binary,name:string,kind:int,start_ns:bigint,end_ns:bigint,attributes:{ATTRS},"
-    f"events:array<struct<time_ns:bigint,name:string,attributes:{ATTRS}>>,links:array<struct<trace_id:binary,span_id:binary,trace_state:string,attributes:{ATTRS}>>,"
-    "status:struct<code:int,message:string>>"
+    f"dropped:bigint,events:array<{EVENT}>,dropped_events:bigint,links:array<{LINK}>,dropped_links:bigint,status:struct<code:int,message:string>>"
+)
+LOG = (
+    "struct<time_ns:bigint,observed_ns:bigint,trace_id:binary,span_id:binary,severity_number:int,severity_text:string,"
+    f"body:{VALUE},attributes:{ATTRS},dropped:bigint,flags:bigint>"
 )
 RESOURCE, SCOPE = f"struct<attributes:{ATTRS},dropped:bigint>", f"struct<name:string,version:string,attributes:{ATTRS},dropped:bigint>"
-TRACES = f"array<struct<resource:{RESOURCE},schema_url:string,scope_spans:array<struct<scope:{SCOPE},schema_url:string,spans:array<{SPAN}>>>>>"
+
+
+def nested_type(of_scopes: str, items: str, item: str) -> str:
+    """The type of a batch whose scopes, listed as ``of_scopes``, list their items as ``items``."""
+    return f"array<struct<resource:{RESOURCE},schema_url:string,{of_scopes}:array<struct<scope:{SCOPE},schema_url:string,{items}:array<{item}>>>>>"
+
+
+TRACES, LOGS = nested_type("scope_spans", "spans", SPAN), nested_type("scope_logs", "logs", LOG)
+PLACE = ["batch_id", "r", "s", "i"]
+_SPAN_FIELDS = ["trace_id", "span_id", "trace_state", "parent_span_id", "name", "kind", "start_ns", "dropped", "dropped_events", "dropped_links", "status"]
+_LOG_FIELDS = ["time_ns", "observed_ns", "trace_id", "span_id", "severity_number", "severity_text", "dropped", "flags"]
 
 
 def flatten(batches: DataFrame, data: str = "traces", scopes: str = "scope_spans", items: str = "spans", item: str = "span") -> DataFrame:
@@ -30,69 +46,121 @@ def flatten(batches: DataFrame, data: str = "traces", scopes: str = "scope_spans
     return s.select("batch_id", "r", "s", "resource", "resource_url", F.col("ss.scope").alias("scope"), F.col("ss.schema_url").alias("scope_url"), F.posexplode_outer(f"ss.{items}").alias("i", item))
 
 
+def flatten_logs(batches: DataFrame) -> DataFrame:
+    """The same for the records of ``batches(batch_id, logs)``."""
+    return flatten(batches, "logs", "scope_logs", "logs", "log")
+
+
+def by_field(name: str):
+    """A comparison of structs by one field, for arrays of structs that have no order of their own."""
+    return lambda a, b: F.when(a[name] < b[name], -1).when(a[name] > b[name], 1).otherwise(0)
+
+
+def attribute_rows(df: DataFrame, ids: list[str], column: str) -> DataFrame:
+    """One row for each attribute of a map: ids, key and the fields of its value; empty keys are left out, a value of
+    kind 0 stays."""
+    return df.select(*ids, F.explode(column).alias("key", "v")).where("key <> ''").select(*ids, "key", "v.*")
+
+
+def attribute_maps(attrs: DataFrame, ids: list[str], name: str = "attributes") -> DataFrame:
+    """The inverse: one map for each parent."""
+    pair = F.struct("key", F.struct(*VALUE_FIELDS).alias("value"))
+    return attrs.groupBy(*ids).agg(F.map_from_entries(F.array_sort(F.collect_list(pair), by_field("key"))).alias(name))
+
+
+def filled(name: str = "attributes") -> Column:
+    """Maps that a left join brought in; an empty one where there was none."""
+    return F.coalesce(name, F.map_from_entries(F.array().cast(f"array<struct<key:string,value:{VALUE}>>"))).alias("attributes")
+
+
+def with_attributes(rows: DataFrame, attrs: DataFrame, ids: list[str]) -> DataFrame:
+    """Rows left-joined with the maps of their attributes."""
+    return rows.join(attribute_maps(attrs, ids, "__attributes"), ids, "left").withColumn("attributes", filled("__attributes")).drop("__attributes")
+
+
+def scope_tables(flat: DataFrame) -> dict[str, DataFrame]:
+    """Resources and scopes of a flattened batch, and their attributes: one row for each place, found in one pass.
+
+    ``present`` tells a missing resource or scope from an empty one; a batch or resource without children has a row with
+    a null place.
+    """
+    own = flat.where("i is null or i = 0")
+    resources = own.where("s is null or s = 0").select("batch_id", "r", F.col("resource").isNotNull().alias("present"), "resource.dropped", F.col("resource_url").alias("schema_url"), "resource.attributes")
+    scopes = own.select("batch_id", "r", "s", F.col("scope").isNotNull().alias("present"), "scope.name", "scope.version", "scope.dropped", F.col("scope_url").alias("schema_url"), "scope.attributes")
+    return {
+        "resources": resources.drop("attributes"), "resource_attrs": attribute_rows(resources, ["batch_id", "r"], "attributes"),
+        "scopes": scopes.drop("attributes"), "scope_attrs": attribute_rows(scopes, ["batch_id", "r", "s"], "attributes"),
+    }
+
+
 def tables(flat: DataFrame) -> dict[str, DataFrame]:
-    """Main and related tables; a child's ``parent`` is the place (r, s, i) of its span."""
-    own = ["batch_id", "r", "s", "i"]
+    """Main and related tables of flattened traces; a child's parent is the place (r, s, i) of its span."""
     span = flat.where("span is not null")
-    events = span.select(*own, F.posexplode("span.events").alias("n", "e"))
-    links = span.select(*own, F.posexplode("span.links").alias("n", "l"))
+    events = span.select(*PLACE, F.posexplode("span.events").alias("n", "e"))
+    links = span.select(*PLACE, F.posexplode("span.links").alias("n", "l"))
+    return scope_tables(flat) | {
+        "spans": span.select(*PLACE, *[f"span.{c}" for c in _SPAN_FIELDS], (F.col("span.end_ns") - F.col("span.start_ns")).alias("duration_ns")),
+        "span_attrs": attribute_rows(span, PLACE, "span.attributes"),
+        "events": events.select(*PLACE, "n", "e.time_ns", "e.name", "e.dropped"),
+        "event_attrs": attribute_rows(events, [*PLACE, "n"], "e.attributes"),
+        "links": links.select(*PLACE, "n", "l.trace_id", "l.span_id", "l.trace_state", "l.dropped"),
+        "link_attrs": attribute_rows(links, [*PLACE, "n"], "l.attributes"),
+    }
 
-    def rows(df: DataFrame, ids: list[str], column: str) -> DataFrame:
-        return df.select(*ids, F.explode(column).alias("key", "v")).where("key <> ''").select(*ids, "key", "v.*")
 
-    return {
-        "spans": span.select(*own, "span.trace_id", "span.span_id", "span.trace_state", "span.parent_span_id", "span.name", "span.kind", "span.start_ns", (F.col("span.end_ns") - F.col("span.start_ns")).alias("duration_ns"), "span.status"),
-        "span_attrs": rows(span, own, "span.attributes"),
-        "events": events.select(*own, "n", "e.time_ns", "e.name"),
-        "event_attrs": rows(events, [*own, "n"], "e.attributes"),
-        "links": links.select(*own, "n", "l.trace_id", "l.span_id", "l.trace_state"),
-        "link_attrs": rows(links, [*own, "n"], "l.attributes"),
-        "scopes": scopes_of(flat),
+def log_tables(flat: DataFrame) -> dict[str, DataFrame]:
+    """The same for flattened logs; the body is split into a column for each kind of value (null for an empty body)."""
+    log = flat.where("log is not null")
+    body = F.when(F.col("log.body.type") != 0, F.col("log.body")).alias("body")
+    return scope_tables(flat) | {
+        "logs": log.select(*PLACE, *[f"log.{c}" for c in _LOG_FIELDS], body),
+        "log_attrs": attribute_rows(log, PLACE, "log.attributes"),
     }
 
 
-def scopes_of(flat: DataFrame) -> DataFrame:
-    """One row for each scope of a batch, and for each resource without scopes."""
-    return flat.select("batch_id", "r", "s", "resource", "resource_url", "scope", "scope_url").dropDuplicates(["batch_id", "r", "s"])
+def listed(rows: DataFrame, by: list[str], at: str, value: Column, name: str) -> DataFrame:
+    """One row for each parent: its children in the order of their places."""
+    pair = F.struct(F.col(at).alias("at"), value.alias("x"))
+    in_place = F.array_sort(F.collect_list(pair), by_field("at"))
+    return rows.groupBy(*by).agg(F.transform(in_place, lambda c: c["x"]).alias(name))
 
 
-def _maps(attrs: DataFrame, ids: list[str]) -> DataFrame:
-    pair = F.struct("key", F.struct("type", "str", "int", "double", "bool").alias("value"))
-    return attrs.groupBy(*ids).agg(F.map_from_entries(F.array_sort(F.collect_list(pair))).alias("attributes"))
+def or_none(name: str, item: str) -> Column:
+    return F.coalesce(name, F.array().cast(f"array<{item}>")).alias(name)
 
 
 def renest(t: dict[str, DataFrame]) -> DataFrame:
     """The inverse of `flatten` and `tables`: left joins on the parent's place, then lists in order, from the inside."""
-    own = ["batch_id", "r", "s", "i"]
-    none = F.map_from_entries(F.array().cast(f"array<struct<key:string,value:{VALUE}>>"))
-    filled = F.coalesce("attributes", none).alias("attributes")
-
-    def children(rows: DataFrame, attrs: DataFrame, fields: list[str], name: str) -> DataFrame:
-        full = rows.join(_maps(attrs, [*own, "n"]), [*own, "n"], "left").select(*own, F.struct("n", F.struct(*fields, filled).alias("x")).alias("c"))
-        in_place = F.array_sort(F.collect_list("c"), lambda a, b: a["n"] - b["n"])
-        return full.groupBy(*own).agg(F.transform(in_place, lambda c: c["x"]).alias(name))
-
-    events = children(t["events"], t["event_attrs"], ["time_ns", "name"], "events")
-    links = children(t["links"], t["link_attrs"], ["trace_id", "span_id", "trace_state"], "links")
-    spans = t["spans"].join(_maps(t["span_attrs"], own), own, "left").join(events, own, "left").join(links, own, "left")
+
+    def children(name: str, fields: list[str]) -> DataFrame:
+        full = with_attributes(t[name], t[f"{name[:-1]}_attrs"], [*PLACE, "n"])
+        return listed(full, PLACE, "n", F.struct(*fields, "attributes", "dropped"), name)
+
+    spans = with_attributes(t["spans"], t["span_attrs"], PLACE)
+    spans = spans.join(children("events", ["time_ns", "name"]), PLACE, "left").join(children("links", ["trace_id", "span_id", "trace_state"]), PLACE, "left")
     span = F.struct(
-        "trace_id", "span_id", "trace_state", "parent_span_id", "name", "kind", "start_ns", (F.col("start_ns") + F.col("duration_ns")).alias("end_ns"), filled,
-        F.coalesce("events", F.array().cast(f"array<struct<time_ns:bigint,name:string,attributes:{ATTRS}>>")).alias("events"),
-        F.coalesce("links", F.array().cast(f"array<struct<trace_id:binary,span_id:binary,trace_state:string,attributes:{ATTRS}>>")).alias("links"), "status",
+        "trace_id", "span_id", "trace_state", "parent_span_id", "name", "kind", "start_ns", (F.col("start_ns") + F.col("duration_ns")).alias("end_ns"), "attributes", "dropped",
+        or_none("events", EVENT), "dropped_events", or_none("links", LINK), "dropped_links", "status",
     )
-    return renest_scopes(spans.select("batch_id", "r", "s", "i", span.alias("span")), t["scopes"], SPAN, "traces", "scope_spans", "spans", "span")
+    return renest_scopes(spans.select(*PLACE, span.alias("span")), t, SPAN, "traces", "scope_spans", "spans", "span")
 
 
-def renest_scopes(rows: DataFrame, scopes: DataFrame, kind: str, data: str, of_scopes: str, items: str, item: str) -> DataFrame:
+def renest_logs(t: dict[str, DataFrame]) -> DataFrame:
+    """The inverse of `flatten_logs` and `log_tables`; an empty body comes back as null."""
+    full = with_attributes(t["logs"], t["log_attrs"], PLACE)
+    log = F.struct(*_LOG_FIELDS[:6], "body", "attributes", *_LOG_FIELDS[6:])
+    return renest_scopes(full.select(*PLACE, log.alias("log")), t, LOG, "logs", "scope_logs", "logs", "log")
+
+
+def renest_scopes(rows: DataFrame, t: dict[str, DataFrame], kind: str, data: str, of_scopes: str, items: str, item: str) -> DataFrame:
     """Batches (batch_id, ``data``) of the items in ``rows(batch_id, r, s, i, item)``, under their scopes and resources."""
-    in_order = lambda rows, at: F.array_sort(rows, lambda a, b: a[at] - b[at])
-    lists = rows.select("batch_id", "r", "s", F.struct("i", item).alias("c")).groupBy("batch_id", "r", "s").agg(F.transform(in_order(F.collect_list("c"), "i"), lambda c: c[item]).alias(items))
-    full = scopes.join(lists, ["batch_id", "r", "s"], "left")
-    scope = F.struct("scope", F.col("scope_url").alias("schema_url"), F.coalesce(items, F.array().cast(f"array<{kind}>")).alias(items))
-    resources = full.groupBy("batch_id", "r").agg(
-        F.min_by("resource", "s").alias("resource"), F.min_by("resource_url", "s").alias("schema_url"),
-        F.array_sort(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("s", scope.alias("x")))), lambda a, b: a["s"] - b["s"]).alias("c"),
-    )
-    resource = F.struct("r", F.struct(F.col("resource"), F.col("schema_url"), F.transform("c", lambda c: c["x"]).alias(of_scopes)).alias("x"))
-    out = resources.select("batch_id", F.when(F.col("r").isNotNull(), resource).alias("c")).groupBy("batch_id").agg(in_order(F.collect_list("c"), "r").alias("c"))
-    return out.select("batch_id", F.transform("c", lambda c: c["x"]).alias(data))
+    lists = listed(rows, ["batch_id", "r", "s"], "i", F.col(item), items)
+    full = with_attributes(t["scopes"].where("s is not null"), t["scope_attrs"], ["batch_id", "r", "s"]).join(lists, ["batch_id", "r", "s"], "left")
+    own = F.when(F.col("present"), F.struct("name", "version", "attributes", "dropped")).alias("scope")
+    of_resource = listed(full, ["batch_id", "r"], "s", F.struct(own, "schema_url", or_none(items, kind)), of_scopes)
+    resources = with_attributes(t["resources"].where("r is not null"), t["resource_attrs"], ["batch_id", "r"]).join(of_resource, ["batch_id", "r"], "left")
+    own = F.when(F.col("present"), F.struct("attributes", "dropped")).alias("resource")
+    scope = f"struct<scope:{SCOPE},schema_url:string,{items}:array<{kind}>>"
+    batches = listed(resources, ["batch_id"], "r", F.struct(own, "schema_url", or_none(of_scopes, scope)), data)
+    none = F.array().cast(nested_type(of_scopes, items, kind))
+    return t["resources"].select("batch_id").distinct().join(batches, "batch_id", "left").select("batch_id", F.coalesce(data, none).alias(data))

@@ -56,7 +56,8 @@ _TOKENS = "with t as (select distinct unnest(string_split(text, ' ')) as token f
 
 @query(_TOKENS + r""", k as (
   select token, case when regexp_full_match(token, '[+-]?\d+') and try_cast(token as bigint) is not null then 2
-                     when regexp_full_match(token, '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?') and try_cast(token as double) is not null then 3
+                     when regexp_full_match(token, '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?') and isfinite(try_cast(token as double)) then 3
+                     when regexp_full_match(lower(token), '[+-]?inf(inity)?|nan') or regexp_full_match(token, '[+-]?0[xX]([0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)[pP][+-]?\d+') then 3
                      when token in ('t', 'T', 'true', 'TRUE', 'True', 'f', 'F', 'false', 'FALSE', 'False') then 4 else 1 end as type from t)
 select type, count(*) as n, cast(sum(case when type = 2 then cast(try_cast(token as bigint) as decimal(38, 0)) end) as varchar) as ints, min(case when type = 1 then token end) as first_str from k group by type""")
 def attr_value_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,15 +145,6 @@ def log_attr_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("batch_id", "id", F.size(keys).cast("long").alias("n_attrs"), F.array_join(keys, ",").alias("keys"))
 
 
-@query(f"""with {SPANS} select batch_id, resource, scope, count(*) as n_spans, count(distinct trace) as n_traces, md5(string_agg(trace_id || ':' || n, ',' order by trace_id, n)) as digest
-from spans group by batch_id, resource, scope""")
-def renest_span_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans are brought together under their batch, resource and scope again, in order."""
-    nested = views.spans(spark, sf_dir).groupBy("batch_id", "resource", "scope").agg(F.sort_array(F.collect_list(F.struct("trace_id", "n"))).alias("s"))
-    text = F.array_join(F.transform("s", lambda x: F.concat(x["trace_id"], F.lit(":"), x["n"].cast("string"))), ",")
-    return nested.select("batch_id", "resource", "scope", F.size("s").cast("long").alias("n_spans"), F.size(F.array_distinct(F.transform("s", lambda x: x["trace_id"]))).cast("long").alias("n_traces"), F.md5(text).alias("digest"))
-
-
 _DAY = "cast(l_shipdate as date)"
 
 

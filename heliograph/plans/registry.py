@@ -1,6 +1,6 @@
 """All registered telemetry queries, and their SQL."""
 
-from . import related  # noqa: F401  (registers its queries)
+from . import nested, related  # noqa: F401  (register their queries)
 from .queries import ORACLES, QUERIES, flagship_roundtrip
 
 __all__ = ["ORACLES", "QUERIES", "flagship_roundtrip"]

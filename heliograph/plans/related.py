@@ -76,26 +76,6 @@ def status_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _status(spark, sf_dir).groupBy("batch_id").agg(F.count("*").alias("n"), *kinds, F.countDistinct(F.when(F.col("message") != "", F.col("message"))).alias("messages"))
 
 
-@query(f"""with {SPANS}, e as (select batch_id, trace, count(*) as events, cast(sum(duration_nano) as bigint) as total, string_agg(name, ',' order by n) as names from spans where n > 0 group by 1, 2)
-select s.batch_id, s.trace, coalesce(events, 0) as events, coalesce(total, 0) as total, coalesce(names, '') as names from spans s left join e on s.batch_id = e.batch_id and s.trace = e.trace where s.n = 0""")
-def span_event_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Root spans with the list of their events; one pass, as events and roots share the grouping key."""
-    event = F.when(F.col("n") > 0, F.struct("n", "name"))
-    g = views.spans(spark, sf_dir).groupBy("batch_id", "trace").agg(
-        F.max(F.col("n") == 0).alias("root"), F.count(event).alias("events"), F.sum(F.when(F.col("n") > 0, F.col("duration_nano")).otherwise(0)).alias("total"), F.array_sort(F.collect_list(event)).alias("e"))
-    return g.where("root").select("batch_id", "trace", "events", "total", F.array_join(F.transform("e", lambda x: x["name"]), ",").alias("names"))
-
-
-@query("""select o_custkey % 100 as metric, o_orderstatus as point, count(*) as n, round(sum(o_totalprice), 2) as total, max(c_mktsegment) as segment
-from orders left join customer on o_custkey = c_custkey group by 1, 2""")
-def point_attr_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of metrics with their attributes."""
-    points = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_totalprice")
-    attrs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    g = points.join(attrs, "o_custkey", "left").groupBy(F.pmod("o_custkey", F.lit(100)).cast("long").alias("metric"), F.col("o_orderstatus").alias("point"))
-    return g.agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.max("c_mktsegment").alias("segment"))
-
-
 def _delta_sql(keys: str) -> str:
     differs = " or ".join(f"lag({k}) over w is distinct from {k}" for k in keys.split(", "))
     return f"""with {SPANS}, p as (select *, trace % 1000 as parent_id from spans)

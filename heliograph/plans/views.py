@@ -30,17 +30,18 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LOGS = """logs as (
   select event_id // 1000 as batch_id, event_id % 1000 as id, event_id, epoch_us(ts) * 1000 as time_unix_nano, event_type as severity_text,
-         cast(case upper(event_type) when 'TRACE' then 1 when 'DEBUG' then 5 when 'INFO' then 9 when 'WARN' then 13 when 'ERROR' then 17 when 'FATAL' then 21 else 0 end as integer) as severity_number,
+         cast(case event_type when 'trace' then 1 when 'debug' then 5 when 'info' then 9 when 'warn' then 13 when 'error' then 17 when 'fatal' then 21 else 0 end as integer) as severity_number,
          props as body, user_id % 16 as resource, cast(json_extract(props, '$.k') as bigint) as k, value, event_type = 'error' as is_error
   from events)"""
 
 
 def log_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Their attributes as typed rows."""
+    """Their attributes as typed rows, without the columns that none of them uses."""
     d = logs(spark, sf_dir)
-    return unpivot(d.withColumnRenamed("id", "parent_id"), ["batch_id", "parent_id"], {
+    attrs = unpivot(d.withColumnRenamed("id", "parent_id"), ["batch_id", "parent_id"], {
         "k": ("int", F.col("k")), "value": ("double", F.col("value")), "event_type": ("str", F.col("severity_text")), "is_error": ("bool", F.when(F.col("is_error"), F.col("is_error"))),
     })
+    return attrs.drop("bytes", "ser")
 
 
 LOG_ATTRS = LOGS + """, attrs as (

@@ -29,9 +29,11 @@ def schema_id(schema: pa.Schema) -> str:
     return ",".join(sorted(f"{f.name}:{text(f.type)}" for f in schema))
 
 
-def to_payloads(df: DataFrame, compression: str | None = "zstd", dictionaries: bool = True) -> DataFrame:
+def to_payloads(df: DataFrame, compression: str | None = "zstd", dictionaries: bool = True, in_order: bool = False) -> DataFrame:
     """One or more payloads for each batch of ``df(batch_id, ...)``: batch_id, schema_id, n_rows, data.
 
+    With ``in_order``, rows of a batch stand together already, in the order to be kept.
+
     Works without a shuffle: a task makes a payload of each run of rows of one batch, so that no batch needs to fit in
     memory. Text columns are dictionary-encoded if asked. Rows with a null batch_id are left out.
     """
@@ -52,8 +54,8 @@ def to_payloads(df: DataFrame, compression: str | None = "zstd", dictionaries: b
                 row = ([int(ids[a])], [schema_id(part.schema)], [part.num_rows], [sink.getvalue().to_pybytes()])
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=["batch_id", "schema_id", "n_rows", "data"])
 
-    ordered = df.where("batch_id is not null").withColumn("batch_id", F.col("batch_id").cast("long")).sortWithinPartitions("batch_id")
-    return ordered.mapInArrow(run, PAYLOAD)
+    ordered = df.where("batch_id is not null").withColumn("batch_id", F.col("batch_id").cast("long"))
+    return (ordered if in_order else ordered.sortWithinPartitions("batch_id")).mapInArrow(run, PAYLOAD)
 
 
 def from_payloads(payloads: DataFrame, schema: str) -> DataFrame:
