@@ -2,8 +2,9 @@
 
 A template is wording with two kinds of marked regions: ``<<optional>> ... <<end>>`` may be left out, and ``<<any 5>>``
 stands for up to five words of any kind. Each template is compiled once into an automaton over words; a text is
-accepted where the mandatory wording stands exactly. Words are compared as codes: a template whose words a slice of
-documents doesn't hold costs nothing, and an automaton only runs where its first words stand.
+accepted where the mandatory wording stands exactly. `scan_licenses` finds accepted wording anywhere in a text,
+`identify_licenses` the texts that are a license as a whole. Words are compared as codes: a template whose words a slice
+of documents doesn't hold costs nothing, and an automaton only runs where its first words stand.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .columns import arrow_map, coded, documents, ragged, slices, starts, texts
+from .license_texts import HEADER, TEXTS
 
 #: Phrases whose places are all counted, and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Wording of public licenses and of notices that name them.
+#: Wording that names public licenses; whole bodies and notices follow.
 TEMPLATES = (
     ("apache license <<optional>> version <<end>> 2 0", "apache-2.0"),
     ("gnu <<optional>> lesser <<end>> general public license <<optional>> as published by the free software foundation <<end>> <<optional>> either <<end>> version 3", "gpl-3.0"),
@@ -31,8 +33,10 @@ TEMPLATES = (
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
     ("copyright <<optional>> c <<end>> <<any 8>> all rights reserved", "all-rights-reserved"),
+    *TEXTS,
 )
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_MARKUP = r"<<optional>>|<<end>>|<<any \d+>>|[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 @dataclass(frozen=True)
@@ -62,9 +66,14 @@ class Automaton:
         return len(self.by_any)
 
 
-def compile_template(markup: str, label: str) -> Automaton:
-    """The automaton of a template; it must begin with a word that is mandatory."""
-    items = re.findall(r"<<optional>>|<<end>>|<<any \d+>>|[^\s<>]+", markup.lower())
+def items_of(markup: str) -> list[str]:
+    """Marks and words of a template, in order."""
+    return re.findall(_MARKUP, markup.lower())
+
+
+def compile_template(markup: str, label: str, anywhere: bool = True) -> Automaton:
+    """The automaton of a template; to be found ``anywhere`` it must begin with a word that is mandatory."""
+    items = items_of(markup)
     free: list[set[int]] = [set()]
     word: list[dict[str, set[int]]] = [{}]
     wild: list[set[int]] = [set()]
@@ -93,7 +102,7 @@ def compile_template(markup: str, label: str) -> Automaton:
             new = state()
             word[at].setdefault(item, set()).add(new)
             at = new
-    if opened or not items or items[0].startswith("<<"):
+    if opened or not items or anywhere and items[0].startswith("<<"):
         raise ValueError(f"not a template: {markup!r}")
     for item in items:
         if item.startswith("<<"):
@@ -177,3 +186,27 @@ def scan_licenses(docs: DataFrame, phrases: tuple = PHRASES, templates: tuple =
                 yield pa.record_batch([c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     return arrow_map(documents(docs), scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+
+
+def identify_licenses(docs: DataFrame, templates: tuple = TEXTS) -> DataFrame:
+    """(doc_id, license) for each row of ``docs(doc_id, text, ...)``: the label of the first template that accepts the
+    whole text, with or without a title and copyright lines before it; null if none does.
+
+    Null and empty texts are no license; repeated rows are judged each for itself, other columns are left aside, and an
+    empty table gives no rows.
+    """
+    compiled = [compile_template(HEADER + markup, label, False) for markup, label in templates]
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                counts, flat = license_words(part.column("text"))
+                at = starts(counts).tolist()
+                said = []
+                for a, b in zip(at[:-1], at[1:], strict=True):
+                    fits = [c for c in compiled if 0 < b - a <= c.reach]
+                    own = flat[a:b].to_pylist() if fits else []
+                    said.append(next((c.label for c in fits if c.longest(own) == len(own)), None))
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "license": pa.array(said, pa.string())})
+
+    return arrow_map(documents(docs), judge, "doc_id long, license string")

@@ -45,11 +45,15 @@ class PieceModel:
         if spec.remove_extra_whitespaces or spec.precompiled_charsmap or not spec.escape_whitespaces:
             raise ValueError("models that normalize texts aren't supported")
         self.prefix = spec.add_dummy_prefix
-        self.score = {p.piece: p.score for p in proto.pieces if p.type in (kind.NORMAL, kind.USER_DEFINED)}
+        if any(p.type == kind.USER_DEFINED for p in proto.pieces):
+            raise ValueError("models with user-defined pieces aren't supported")
+        self.score = {p.piece: p.score for p in proto.pieces if p.type == kind.NORMAL}
         self.id = {p.piece: i for i, p in enumerate(proto.pieces) if p.piece in self.score}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == kind.UNKNOWN)
         byte = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == kind.BYTE}
-        self.byte = [byte.get(b, self.unknown) for b in range(256)]
+        self.byte = [byte[b] for b in range(256)] if len(byte) == 256 else None
+        if self.byte is None and MARK not in self.score:
+            raise ValueError("models without bytes and without a piece for a blank aren't supported")
         self.surface = [p.piece.replace(MARK, " ").encode() for p in proto.pieces]
         for b, i in byte.items():
             self.surface[i] = bytes([b])
@@ -127,10 +131,18 @@ class PieceModel:
             yield out[::-1]
 
     def ids(self, pieces: list[str]) -> bytes:
+        """Ids of a word's pieces; what isn't a piece becomes bytes or, in a run of any length, one unknown piece."""
         out: list[int] = []
+        run = False
         for p in pieces:
             i = self.id.get(p)
-            out += [i] if i is not None else [self.byte[b] for b in p.encode()]
+            if i is not None:
+                out.append(i)
+            elif self.byte is not None:
+                out += [self.byte[b] for b in p.encode()]
+            elif not run:
+                out.append(self.unknown)
+            run = i is None
         return array("i", out).tobytes()
 
     def table(self, words: list[str]) -> list[bytes]:

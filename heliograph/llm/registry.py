@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat import read_back, reconstruct, render, streamed
 from .jaccard import jaccard_groups
-from .licenses import scan_licenses
+from .licenses import PHRASES, TEMPLATES, compile_template, items_of, scan_licenses
 from .lines import dedup_lines
 from .neighbours import nearest
 from .packing import pack
@@ -105,7 +105,59 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WS, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]+"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _licenses_sql() -> str:
+    """Templates as regular expressions over words that each are followed by a blank."""
+
+    def pattern(markup: str) -> str:
+        marks = {"<<optional>>": "(?:", "<<end>>": ")?"}
+        return "".join(marks.get(x) or (f"(?:[^ ]+ ){{0,{x[6:-2]}}}" if x.startswith("<<any") else f"{x} ") for x in items_of(markup))
+
+    found, leads = [], set()
+    for base, group in ((True, PHRASES), (False, TEMPLATES)):
+        for markup, label in group:
+            first, reach = items_of(markup)[0], compile_template(markup, label).reach
+            found.append(f"""select row_id, s, '{label}' as label, {str(base).lower()} as base, regexp_extract(array_to_string(words[s + 1 : s + {reach}], ' ') || ' ', '^{pattern(markup)}') as m
+  from starts join docs using (row_id) where w = '{first}'""")
+            leads.add(first)
+    union = "\n  union all ".join(found)
+    return rf"""
+with docs as (
+  select doc_id, row_number() over () as row_id,
+         list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as words from documents),
+starts as (select * from (select row_id, unnest(words) as w, unnest(range(len(words))) as s from docs) where w in ({", ".join(f"'{w}'" for w in sorted(leads))})),
+found as (select row_id, s, label, base, length(m) - length(replace(m, ' ', '')) as n from ({union}) where m <> ''),
+cover as (select row_id, count(distinct s + j) as covered from (select row_id, s, unnest(range(n)) as j from found) group by row_id),
+said as (
+  select row_id, count(*) filter (base) as n_base, min(s) filter (base) as first_word, max(s) filter (base) as last_word,
+         coalesce(string_agg(distinct label, ',' order by label) filter (base), '') as base_labels, coalesce(string_agg(distinct label, ',' order by label), '') as labels
+  from found group by row_id)
+select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_base, 0) as n_base, cast(first_word as bigint) as first_word, cast(last_word as bigint) as last_word,
+       coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(covered, 0) / greatest(len(words), 1) as score
+from docs left join said using (row_id) left join cover using (row_id)"""
+
+
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": rf"""
+with recursive docs as (
+  select doc_id, row_number() over () as row_id,
+         list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '{_WS}+'), lambda w: w <> '') as words from documents),
+sets as (
+  select doc_id, row_id, case when len(words) = 0 then [] when len(words) < 3 then [array_to_string(words, ' ')]
+         else list_distinct([words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] for i in range(1, len(words) - 1)]) end as grams from docs),
+names as (select grams, min(row_id) as s, len(grams) as n, min(doc_id) as doc_id from (select doc_id, row_id, list_sort(grams) as grams from sets) where len(grams) > 0 group by grams),
+entries as (select s, n, unnest(grams) as gram from names),
+pairs as (
+  select a.s as a, b.s as b, any_value(a.n) as n, any_value(b.n) as m, count(*) as common
+  from entries a join entries b on a.gram = b.gram and a.s < b.s and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) group by a.s, b.s),
+links as (select a, b from pairs where 100 * common >= 90 * (n + m - common)),
+edges as (select a, b from links union all select b, a from links),
+reach as (select s as a, s as b from names union select r.a, e.b from reach r join edges e on r.b = e.a),
+groups as (select r.a as s, min(n.doc_id) as component_id from reach r join names n on r.b = n.s group by r.a)
+select t.doc_id, cast(len(t.grams) as bigint) as n_shingles, coalesce(g.component_id, t.doc_id) as component_id
+from sets t left join names n on list_sort(t.grams) = n.grams left join groups g on g.s = n.s""",
+    "op5_license_scan": _licenses_sql(),
     "op3_line_dedup": rf"""
 with lines as (
   select doc_id, row_id, i, line, {_LOWER.format(rf"regexp_replace(regexp_replace(line, '^{_WS}+', ''), '{_WS}+$', '')")} as key

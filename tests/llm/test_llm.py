@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -266,17 +267,69 @@ def test_templates():
         licenses.compile_template("<<any 2>> x", "x")
 
 
+def _said(markup, rng):
+    """A text that a template accepts, with optional and replaceable regions drawn at random."""
+    out, skip = [], 0
+    for x in licenses.items_of(markup):
+        if x == "<<optional>>":
+            skip += 1 if skip or rng.random() < 0.5 else 0
+            out.append(None) if not skip else None
+        elif x == "<<end>>":
+            skip = max(0, skip - 1)
+        elif skip:
+            continue
+        elif x.startswith("<<any"):
+            out += [f"name{i}" for i in range(int(rng.integers(0, int(x[6:-2]) + 1)))]
+        else:
+            out.append(x)
+    return [x for x in out if x]
+
+
+def _pattern(markup):
+    marks = {"<<optional>>": "(?:", "<<end>>": ")?"}
+    return "".join(marks.get(x) or (f"(?:[^ ]+ ){{0,{x[6:-2]}}}" if x.startswith("<<any") else regex.escape(x) + " ") for x in licenses.items_of(markup))
+
+
 def test_licenses(spark):
-    texts = ["Released under the MIT License. mit-license!", "GNU General Public License, version 3 and the Apache License, Version 2.0", "licensed under CC BY-NC 4.0", "mit\nlicense", "mitlicense ümit license", None, "", "MIT", "mit license " * 3]
-    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, labels string")
+    rng = np.random.default_rng(8)
+    texts = ["Released under the MIT License. mit-license!", "GNU General Public License, version 3 and the Apache License, Version 2.0", "licensed under CC BY-NC 4.0", "mit\nlicense", "mitlicense ümit license", None, "", "MIT", "mit license " * 3,
+             "copyright c a all rights reserved b all rights reserved c", "x " * 3000 + "copyright all rights reserved"]
+    for markup, _ in licenses.TEMPLATES:
+        for _ in range(4):
+            w = _said(markup, rng)
+            texts += [" ".join(["before", *w, "after"]), " ".join(w).upper().replace(" ", ", \n"), " ".join([*w[:-2], "instead", *w[-1:]])]
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id int, TEXT string, labels string")
     got = {r.doc_id: r for r in licenses.scan_licenses(rows).collect()}
+    compiled = [(regex.compile("(?p)" + _pattern(m)), label, base) for base, group in ((True, licenses.PHRASES), (False, licenses.TEMPLATES)) for m, label in group]
     for i, t in enumerate(texts):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
         at = [(j, label) for p, label in licenses.PHRASES for j in range(len(w)) if w[j : j + len(p.split())] == p.split()]
+        line, begin = "".join(x + " " for x in w), np.cumsum([0, *(len(x) + 1 for x in w)])
+        labels, cover = set(), set()
+        for j in range(len(w)):
+            for pattern, label, _ in compiled:
+                m = pattern.match(line, int(begin[j]))
+                if m and m[0]:
+                    labels.add(label)
+                    cover |= set(range(j, j + m[0].count(" ")))
         r = got[i]
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), min(at, default=(None,))[0], max(at, default=(None,))[0])
-        assert r.base_labels == ",".join(sorted({x for _, x in at})) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
-    assert got[1].labels == "apache,apache-2.0,gpl,gpl-3.0" and got[2].labels == "cc-by-nc"
+        assert (r.base_labels, r.labels) == (",".join(sorted({x for _, x in at})), ",".join(sorted(labels))), t
+        assert r.score == len(cover) / max(1, len(w))
+    assert got[1].labels == "apache,apache-2.0,gpl,gpl-3.0" and got[2].labels == "cc-by-nc" and got[9].score == 10 / 11
+
+
+def test_whole_licenses(spark):
+    rng = np.random.default_rng(9)
+    rows, want = [(0, None), (1, ""), (2, "MIT License"), (3, "copyright")], {0: None, 1: None, 2: None, 3: None}
+    for markup, label in licenses.TEXTS:
+        for head in ("", "The MIT License (MIT)\n\nCopyright (c) 2020-2024 Some One <some@one.example>\n\n", "Copyright 1999 X. All rights reserved. "):
+            w = " ".join(_said(markup, rng))
+            for text, said in ((head + w, label), (head + w + " more", None), (head + w.replace("software", "hardware", 1), None)):
+                want[len(rows)] = said
+                rows.append((len(rows), text))
+    got = {r.doc_id: r.license for r in licenses.identify_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
 
 
 def _exact(ids, m, k):
@@ -358,18 +411,33 @@ def test_pieces(docs):
     same([(r.doc_id, r.text) for r in pieces.decode_pieces(encoded, path).collect()], [(d, t or "") for d, t in corpus()])
 
 
-def test_viterbi_of_a_unigram_model():
-    model = object.__new__(pieces.PieceModel)
-    model.bpe, model.score = False, {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.0, "▁a": -2.2, "ba": -4.1, "aba": -5.0}
-    model.tails, model.floor, model.pairs = {p[i:] for p in model.score for i in range(len(p))}, -10.0, {}
-
-    def best(word):
-        cuts = [[word[i:j] for i, j in zip((0, *c), (*c, len(word)), strict=True)] for n in range(len(word)) for c in combinations(range(1, len(word)), n)]
-        return max(sum(model.score.get(p, -10.0 if len(p) == 1 else -1e9) for p in c) for c in cuts)
-
-    words = sorted({"▁" + "".join(np.random.default_rng(i).choice(list("abc"), 6)) for i in range(60)})
-    for word, found in zip(words, model.walk(words), strict=True):
-        assert "".join(found) == word and abs(sum(model.score.get(p, -10.0) for p in found) - best(word)) < 1e-9
+@pytest.mark.parametrize("by_bytes", [True, False])
+def test_unigram_model_file(spark, tmp_path, by_bytes):
+    """A model file written here, piece by piece: ids are those of the library."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    rng = np.random.default_rng(6)
+    model = pb.ModelProto()
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = 1, by_bytes
+    model.normalizer_spec.name, model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.remove_extra_whitespaces, model.normalizer_spec.escape_whitespaces = "identity", True, False, True
+    for text, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+        model.pieces.add(piece=text, score=0.0, type=kind)
+    words = {"▁", *"abcdeé日", *("".join(rng.choice(list("abcdeé"), rng.integers(2, 5))) for _ in range(150)), *("▁" + "".join(rng.choice(list("abcde"), rng.integers(1, 4))) for _ in range(80))}
+    for w in sorted(words):
+        model.pieces.add(piece=w, score=float(-rng.random() * 8 - 1), type=1)
+    for b in range(256 if by_bytes else 0):
+        model.pieces.add(piece=f"<0x{b:02X}>", score=0.0, type=6)
+    path = str(tmp_path / "unigram.model")
+    (tmp_path / "unigram.model").write_bytes(model.SerializeToString())
+    sp, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceModel(path)
+    texts = ["", " ", "a  b", "xyz", "axyb zzz a", "日本語", *("".join(rng.choice(list("abcdeé xyz日"), rng.integers(0, 40))) for _ in range(500))]
+    counts, ids = own.encode(pa.array(texts))
+    at = np.concatenate(([0], np.cumsum(counts)))
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == sp.encode(t), repr(t)
+        assert own.decode(ids[at[i] : at[i + 1]]) == sp.decode(sp.encode(t))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    same([(r.doc_id, r.n_ids) for r in pieces.encode_pieces(table, path).collect()], [(i, len(sp.encode(t))) for i, t in enumerate(texts)])
 
 
 def test_chat(spark):
@@ -434,6 +502,119 @@ def test_registered_sql(spark, name):
     assert _normal(QUERIES[name](spark, SF).toPandas()) == _normal(con.execute(ORACLES[name]).df())
 
 
+def _passes(text):
+    w = WORD.findall(text or "")
+    n = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    rep = {j for i in range(len(w) - 7) if n[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    ls = [x for x in (text or "").split("\n") if WORD.search(x)]
+    m = {"n_words": len(w), "n_repeat_words": len(rep), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text or "")), "n_stop": sum(x in quality.STOP_WORDS for x in w),
+         "n_dup_lines": len(ls) - len(set(ls)), "n_lines": len(ls), "n_bullets": sum(x.lstrip(" ")[:1] in tuple("-*•‣") for x in ls)}
+    for rule in quality.BASE + quality.PROSE:
+        top, _, low_ = rule.value.partition(" / ")
+        value = m[top.removeprefix("100 * ")] * (100 if top.startswith("100") else 1)
+        if low_ and not m[low_]:
+            continue
+        if not rule.low <= (value / m[low_] if low_ else value) <= rule.high:
+            return False
+    return True
+
+
+def _one_of_each(rows, width, percent):
+    sets = []
+    for _, t in rows:
+        w = WORD.findall(low(t))
+        sets.append(frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset())
+    label = list(range(len(rows)))
+    for _ in rows:
+        before = list(label)
+        for a, b in combinations(range(len(rows)), 2):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    groups = defaultdict(list)
+    for i, r in enumerate(rows):
+        groups[label[i]].append(r)
+    return [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+
+
+def _without_repeats(rows, k):
+    first = {}
+    for d, t in rows:
+        w = WORD.findall(t or "")
+        for i in range(len(w) - k + 1):
+            me = (d is None, d or 0, i)
+            first[tuple(w[i : i + k])] = min(first.get(tuple(w[i : i + k]), me), me)
+    out = []
+    for d, t in rows:
+        w = WORD.findall(t or "")
+        gone = {i + j for i in range(len(w) - k + 1) if first[tuple(w[i : i + k])] < (d is None, d or 0, i) for j in range(k)}
+        out.append((d, " ".join(x for j, x in enumerate(w) if j not in gone) if gone else t))
+    return out
+
+
+def _pipeline_rows():
+    rng = np.random.default_rng(12)
+    stop = [x for x in quality.STOP_WORDS if x.isascii()]
+    vocabulary = stop[:20] + ["".join(rng.choice(list("abcdefghijklmnoprstuvw"), rng.integers(3, 9))) for _ in range(1500)]
+
+    def prose(n):
+        return [str(x) for x in rng.choice(vocabulary, n)]
+
+    base, shared = prose(120), " ".join(prose(70))
+    rows = [(i, " ".join(prose(int(rng.integers(25, 200))))) for i in range(30)]
+    rows += [(100 + i, " ".join(base[:i] + ["changed"] + base[i + 1 :])) for i in range(0, 12)] + [(90, " ".join(base)), (90, " ".join(base)), (None, " ".join(base))]
+    rows += [(200 + i, "\n".join([" ".join(prose(40)), "  A Shared Footer line ", " ".join(prose(30)), "" if i % 2 else "a shared footer LINE"])) for i in range(12)]
+    rows += [(300 + i, " ".join(prose(35)) + " " + shared + " " + " ".join(prose(35 + i))) for i in range(5)]
+    rows += [(None, None), (400, None), (401, ""), (402, " \n "), (403, "short"), (404, "x " * 60), (405, "# * $ % & | < > " * 10), (406, "\n".join(["- " + " ".join(prose(8)) for _ in range(10)]))]
+    rows += [(5, "another text under a used id: " + " ".join(prose(60))), (407, " ".join(prose(20_000)))]
+    return rows
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    rows = _pipeline_rows()
+    extra = "lang string, h1 string, `row` long, spans string, c0 string, gone int, sid long, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "h", 1, "s", "c", 2, 3, len(t or "")) for i, t in rows], f"doc_id long, text string, {extra}")
+    kept, columns = rows, docs.columns
+    for (name, stage), brute in zip(corpus_pipeline.STAGES, (
+        lambda r: [x for x in r if _passes(x[1])], lambda r: [x[:2] for x in _kept_lines(r, 10)], lambda r: _one_of_each(r, 5, 80), lambda r: _without_repeats(r, 50),
+    ), strict=False):
+        out, kept = stage(spark, docs, SF), brute(kept)
+        assert out.columns == columns, name
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+        same([(r.doc_id, r.text) for r in docs.collect()], kept)
+        assert all(r.n_chars == len(r.text) and (r.lang, r.h1, r.row, r.c0) == ("en", "h", 1, "c") for r in docs.collect() if r.text is not None)
+        assert stage(spark, docs.limit(0), SF).isEmpty()
+    assert 30 < len(kept) < len(rows) - 15 and any(d == 5 and t.startswith("another") for d, t in kept) and sum(d == 90 for d, _ in kept) == 1
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    packed = defaultdict(list)
+    for r in corpus_pipeline.STAGES[4][1](spark, docs, SF).collect():
+        packed[r.sequence_id].append((r.offset, r.length))
+    assert sum(n for p in packed.values() for _, n in p) == sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x in kept)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_pipeline_stages_take_any_rows(spark, name):
+    """Nulls in any column, blank texts, repeated rows; each stage as the first."""
+    docs = spark.createDataFrame([(None, None, None), (1, None, "x"), (1, "", None), (2, " \n", "x"), (2, " \n", "x"), (3, "one", "x"), (3, "one", "x"), (3, "two", "x")], "doc_id long, text string, lang string")
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+    got = sorted((r.doc_id if r.doc_id is not None else -1) for r in out.collect())
+    assert got == {"quality rules": [], "n-gram Jaccard join": [-1, 1, 1, 2, 2, 3, 3]}.get(name, [-1, 1, 1, 2, 2, 3, 3, 3])
+
+
+def test_spelling_and_width_of_columns(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(1, "Same line\nown words here", 0), (2, "same LINE\nother words", 0)]
+    docs = spark.createDataFrame(rows, "Doc_ID int, TEXT string, row int")
+    same(lines.dedup_lines(docs, least=2).collect(), [(1, "own words here", 0), (2, "other words", 0)])
+    assert lines.dedup_lines(docs, least=2).columns == docs.columns == substrings.dedup_substrings(docs).columns == jaccard.dedup_groups(docs).columns
+    same(lines.dedup_lines(docs, least=2, report=True).select("doc_id", "n_dropped").collect(), [(1, 1), (2, 1)])
+    same(substrings.dedup_substrings(docs, report=True).select("doc_id", "n_words").collect(), [(1, 5), (2, 4)])
+    for f in (jaccard.jaccard_groups, licenses.scan_licenses, quality.quality_report, lambda d: packing.pack(d, path), lambda d: pieces.encode_pieces(d, public_tokenizers.path("piece_bpe_32k.model"))):
+        assert sorted(r.doc_id for r in f(docs).select("doc_id").distinct().collect()) == [1, 2]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = corpus_pipeline.quality_rules(spark, docs, SF)
