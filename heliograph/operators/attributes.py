@@ -21,6 +21,21 @@ def typed(kind: str, value: Column) -> Column:
     return F.struct(F.when(value.isNull(), 0).otherwise(KINDS[kind]).cast("int").alias("type"), *cells)
 
 
+def equal_values(a: Column, b: Column) -> Column:
+    """Whether two tagged values are equal, deeply: equal maps and slices are equal bytes, and two missing values are equal."""
+    return a.eqNullSafe(b)
+
+
+def compare_values(a: Column, b: Column) -> Column:
+    """-1, 0 or 1: values by kind, then by what they hold (false before true, bytes and serialized values by their bytes)."""
+    return F.when(a < b, -1).when(a > b, 1).otherwise(0)
+
+
+def valid_ids(trace: Column, span: Column) -> Column:
+    """Trace ids of 16 bytes and span ids of 8; missing ones are valid."""
+    return (F.coalesce(F.octet_length(trace), F.lit(16)) == 16) & (F.coalesce(F.octet_length(span), F.lit(8)) == 8)
+
+
 def unpivot(df: DataFrame, ids: list[str], columns: dict[str, tuple[str, Column]]) -> DataFrame:
     """One row for each attribute: ids, key and the fields of its value. Empty keys and null values are left out."""
     cells = [F.struct(F.lit(key).alias("key"), typed(kind, value).alias("v")) for key, (kind, value) in columns.items() if key]

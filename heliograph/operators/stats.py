@@ -10,10 +10,12 @@ def summary(df: DataFrame, by: list[str], column: str) -> DataFrame:
     """Count, extremes, mean, sample deviation (0 for one value) and interpolated percentiles, all exact."""
     at = (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))
     r = lambda c: F.round(c, 6)
-    return df.groupBy(*by).agg(
+    ranks = F.percentile(column, F.array(*[F.lit(p) for _, p in at])).alias("__ranks")
+    out = df.groupBy(*by).agg(
         F.count(column).alias("n"), F.min(column).alias("min"), F.max(column).alias("max"), r(F.avg(column)).alias("mean"),
-        r(F.coalesce(F.stddev_samp(column), F.lit(0.0))).alias("stddev"), *[r(F.percentile(column, F.lit(p))).alias(n) for n, p in at],
+        r(F.coalesce(F.stddev_samp(column), F.lit(0.0))).alias("stddev"), ranks,
     )
+    return out.withColumns({n: r(F.col("__ranks")[i]) for i, (n, _) in enumerate(at)}).drop("__ranks")
 
 
 def attribute_stats(attrs: DataFrame, by: list[str]) -> DataFrame:

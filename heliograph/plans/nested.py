@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import cbor
-from ..operators import attributes, canonical, encoding, metrics, nesting, orders, sizes
+from ..functions import cbor, json_forms
+from ..functions.scalars import obfuscate, reveal
+from ..operators import adaptive, analysis, attributes, canonical, encoding, metrics, nesting, orders, sizes
 from ..operators.nesting import PLACE
+from ..sources import files, wire
 from . import views
 from .queries import query
 from .views import table
@@ -293,29 +295,109 @@ def equiv_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.groupBy("batch_id", "scope").agg(F.count("*").alias("n"))
 
 
-def _orders_sql() -> str:
+def _orders_sql(source: str, rows: str, table_: str, named: dict[str, str], tie: list[str], item: str) -> str:
+    """Digests of rows in each order of a table; ``named`` are columns that the source names otherwise, '' if it has none."""
     parts = []
-    for name, by in orders.ORDERS["spans"].items():
-        keys = ", ".join(f"{'start_nano' if k == 'start_ns' else k} nulls first" for k in (*by.keys, "trace", "n"))
-        parts.append(f"select '{name}' as name, batch_id, md5(string_agg(trace_id || ':' || n, ',' order by {keys})) as digest from spans group by batch_id")
-    return f"with {views.SPANS} " + " union all ".join(parts)
+    for name, by in orders.ORDERS[table_].items():
+        keys = [named.get(k, k) for k in by.keys]
+        sort = ", ".join(f"{k} nulls first" for k in [*[k for k in keys if k], *[t for t in tie if t not in keys]])
+        parts.append(f"select '{name}' as name, batch_id, md5(string_agg({item}, ',' order by {sort})) as digest from {rows} group by batch_id")
+    return f"with {source} " + " union all ".join(parts)
 
 
-@query(_orders_sql())
-def sort_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans in each of their orders, as a digest for each batch."""
-    s = views.spans(spark, sf_dir).withColumnRenamed("start_nano", "start_ns").withColumn("id", F.concat("trace_id", F.lit(":"), F.col("n").cast("string")))
+def _in_orders(rows: DataFrame, table_: str, tie: list[str], item: Column) -> DataFrame:
     out = None
-    for name, by in orders.ORDERS["spans"].items():
-        placed = orders.place(s, by, ["trace", "n"]).groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("rn", "id"))).alias("x"))
-        own = placed.select(F.lit(name).alias("name"), "batch_id", F.md5(F.array_join(F.transform("x", lambda y: y["id"]), ",")).alias("digest"))
+    for name, by in orders.ORDERS[table_].items():
+        placed = orders.place(rows.withColumn("item", item), by, tie).groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("rn", "item"))).alias("x"))
+        own = placed.select(F.lit(name).alias("name"), "batch_id", F.md5(F.array_join(F.transform("x", lambda y: y["item"]), ",")).alias("digest"))
         out = own if out is None else out.unionByName(own)
     return out
 
 
+_TIMES = {"start_ns": "start_nano", "time_ns": "start_nano", "int": "duration_nano", "double": "", "parent_id": "n"}
+
+
+@query(_orders_sql(views.SPANS, "spans", "spans", _TIMES, ["trace", "n"], "trace_id || ':' || n"))
+def sort_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans in each of their orders, as a digest for each batch."""
+    return _in_orders(views.spans(spark, sf_dir).withColumnRenamed("start_nano", "start_ns"), "spans", ["trace", "n"], F.concat("trace_id", F.lit(":"), F.col("n").cast("string")))
+
+
+@query(_orders_sql(views.SPANS, "spans", "numbers", _TIMES, ["trace", "n"], "trace_id || ':' || n"))
+def sort_point_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number points (durations of spans) in each of their orders."""
+    points = views.spans(spark, sf_dir).withColumnsRenamed({"start_nano": "time_ns", "duration_nano": "int"}).withColumns({"double": F.lit(None).cast("double"), "parent_id": F.col("n")})
+    return _in_orders(points, "numbers", ["trace", "n"], F.concat("trace_id", F.lit(":"), F.col("n").cast("string")))
+
+
+@query(_orders_sql(views.LOG_ATTRS, "attrs", "attrs16", {"bytes": "", "ser": ""}, ["parent_id", "key"], "parent_id || ':' || key"))
+def sort_attr_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes in each of their orders."""
+    none = F.lit(None).cast("binary")
+    a = views.log_attrs(spark, sf_dir).withColumns({"bytes": none, "ser": none})
+    return _in_orders(a, "attrs16", ["parent_id", "key"], F.concat(F.col("parent_id").cast("string"), F.lit(":"), F.col("key")))
+
+
 @query()
 def message_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of batches of records as compressed JSON lines and as compressed encoded tables, and their ratio."""
     made = nested_logs(spark, sf_dir)
     both = sizes.json_sizes(made, "logs").unionByName(sizes.table_sizes(made, "logs"))
     return sizes.ratios(both, [])
+
+
+@query(f"""with {_TRACES} select batch_id, count(distinct r) as resources, count(distinct (r, s)) as scopes, count(*) as items, count(distinct resource) as distinct_resources, count(distinct scope) as distinct_scopes,
+  count(distinct resource % 2) as resource_urls, 1 as scope_urls from places group by 1""")
+def batch_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resources, scopes and spans of each batch, and distinct ones and schema urls among them."""
+    return analysis.levels(nesting.flatten(nested_traces(spark, sf_dir)), "span")
+
+
+@query(f"""with {_TRACES}, p as (select *, (row_number() over (order by batch_id, r, s, i) - 1) // 300 as part from places)
+select part as batch_id, count(*) as spans, count(distinct resource) as resources, count(distinct (resource, scope)) as scopes, cast(sum(duration) as bigint) as duration from p group by 1""")
+def batch_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans dealt anew into batches of 300, under their resources and scopes."""
+    cut = files.slice_items(nesting.flatten(nested_traces(spark, sf_dir)), "span", 300)
+    return cut.groupBy("batch_id").agg(F.count("*").alias("spans"), F.countDistinct("r").alias("resources"), F.countDistinct("r", "s").alias("scopes"), F.sum(F.col("span.end_ns") - F.col("span.start_ns")).alias("duration"))
+
+
+@query(f"""with {_LOG_ROWS} select batch_id, resource, severity_text as scope, time_unix_nano as time_ns, severity_number, event_id % 2 as flags, case kind when 5 then 5 when 6 then 6 when 4 then 7 when 7 then null else kind + 1 end as body_type,
+  {_BODY} as body, case kind when 2 then value end as body_double, k, value, (is_error)::int + 3 as n_attrs from l""")
+def wire_roundtrip_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested records written as messages, and read again."""
+    back = _log_rows(nesting.flatten_logs(wire.read_messages(wire.write_messages(nested_logs(spark, sf_dir), "logs"), "logs")))
+    zero = lambda c: F.coalesce(c, F.lit(0))  # noqa: E731  a message can't tell 0 from absent
+    return back.withColumns({"severity_number": zero("severity_number"), "flags": zero("flags")})
+
+
+@query("""select l_orderkey, '{"names":[' || string_agg('"' || l_returnflag || l_linestatus || '"', ',' order by l_returnflag || l_linestatus) || '],"order":' || l_orderkey || '}' as canonical from lineitem group by 1""")
+def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON of the lines of an order, in whatever order, in its canonical form."""
+    names = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.concat("l_returnflag", "l_linestatus")).alias("names"))
+    return names.select("l_orderkey", json_forms.canonical_json(F.to_json(F.struct(F.col("l_orderkey").alias("order"), "names"))).alias("canonical"))
+
+
+@query("select event_id, '{\"k\":' || cast(json_extract(props, '$.k') as bigint) || '}' as props from events")
+def cbor_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested values serialized and read again."""
+    return table(spark, sf_dir, "events").select("event_id", cbor.from_ser(cbor.to_ser(F.col("props"))).alias("props"))
+
+
+@query("select c_custkey, c_name as revealed, length(c_name) as n, c_name <> '' as changed from customer")
+def obfuscate_len_preserving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names enciphered, which keeps their length, and deciphered."""
+    key = b"key of the registered query"
+    c = table(spark, sf_dir, "customer").withColumn("o", obfuscate(F.col("c_name"), key))
+    return c.select("c_custkey", reveal(F.col("o"), key).alias("revealed"), F.length("o").cast("long").alias("n"), (F.col("o") != F.col("c_name")).alias("changed"))
+
+
+@query("""with f as (select user_id, min(event_id // 1000) as batch_id from events group by 1), n as (select batch_id, count(*) as new from f group by 1), t as (select batch_id, sum(new) over (order by batch_id) as total from n),
+w as (select *, row_number() over (order by batch_id) as i from t),
+x as (select batch_id, cast(total as bigint) as total, case when total <= 255 then 'u8' when total <= 65535 then 'u16' else 'plain' end as width, lag(case when total <= 255 then 'u8' when total <= 65535 then 'u16' else 'plain' end) over (order by batch_id) as before, i from w)
+select batch_id, 'user_id' as column, 'appears' as event, total as distinct from x where i = 1
+union all select batch_id, 'user_id', case when width = 'plain' then 'overflows' else 'widens' end, total from x where before is not null and width <> before
+union all select batch_id, 'user_id', case when width = 'plain' then 'overflows' else 'widens' end, total from x where i = 1 and width <> 'u8'""")
+def dictionary_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What happens to the dictionary of a column over the batches of a stream."""
+    e = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 1000).cast("long").alias("batch_id"), "user_id")
+    return adaptive.events(e, "batch_id", ["user_id"])

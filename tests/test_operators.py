@@ -55,6 +55,13 @@ def test_inference(spark):
     assert got[11].v.double == math.inf and got[12].v.double == -math.inf and math.isnan(got[13].v.double) and (got[14].v.double, got[15].v.double) == (16.0, -3.0)
 
 
+def test_values_compare(spark):
+    values = [wire.tagged(v) for v in (None, "a", "b", 1, 2, 0.5, False, True, {"a": 1, "b": 2}, [1])]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {attributes.VALUE}")
+    both = df.crossJoin(df.toDF("j", "w")).select("i", "j", attributes.compare_values(F.col("v"), F.col("w")).alias("c"), attributes.equal_values(F.col("v"), F.col("w")).alias("e"))
+    assert all(r.c == (r.i > r.j) - (r.i < r.j) and r.e == (r.i == r.j) for r in both.collect())
+
+
 def test_severity_of_lower_case_names(spark):
     names = ["trace", "debug", "info", "warn", "error", "fatal", "INFO", "Error", "", None]
     got = spark.createDataFrame([(n,) for n in names], "n string").select(severity_number(F.col("n")).alias("s")).collect()
