@@ -48,10 +48,11 @@ class Automaton:
     by_word: tuple[dict[str, frozenset[int]], ...]
     by_any: tuple[frozenset[int], ...]
     accepting: frozenset[int]
+    begin: frozenset[int] = frozenset([0])
 
     def longest(self, words: list[str]) -> int:
         """Words of the longest accepted text that ``words`` begin with; 0 if there is none."""
-        now, best = frozenset([0]), 0
+        now, best = self.begin, 0
         for n, word in enumerate(words, 1):
             now = frozenset().union(*(self.by_word[s].get(word, frozenset()) | self.by_any[s] for s in now))
             if not now:
@@ -118,7 +119,7 @@ def compile_template(markup: str, label: str, anywhere: bool = True) -> Automato
         return frozenset(seen)
 
     accepting = frozenset(s for s in range(len(free)) if at in closed({s}))
-    return Automaton(label, tuple(lead), tuple({w: closed(t) for w, t in x.items()} for x in word), tuple(closed(x) for x in wild), accepting)
+    return Automaton(label, tuple(lead), tuple({w: closed(t) for w, t in x.items()} for x in word), tuple(closed(x) for x in wild), accepting, closed({0}))
 
 
 def license_words(array: pa.Array) -> tuple[np.ndarray, pa.Array]:

@@ -65,7 +65,7 @@ class PieceModel:
             raise ValueError("pieces that reach over a blank aren't supported")
         #: Ends of pieces: nothing longer can be a piece where none of these stands.
         self.tails = set() if self.bpe else {p[i:] for p in self.score for i in range(len(p))}
-        self.floor = min(self.score.values()) - 10
+        self.floor = array("f", [min(self.score.values()) - 10])[0]
         self.pairs: dict[tuple[str, str], bool] = {}
         #: One string object for each piece, which all pairs share.
         self.own = {p: p for p in self.score}
@@ -93,7 +93,8 @@ class PieceModel:
     def walk(self, words: list[str]) -> Iterator[list[str]]:
         """Pieces of each of the words, which are sorted; states of shared prefixes are computed once."""
         last: list[str] = [""]  # for each length, the last piece of that prefix's encoding
-        score: list[float] = [0.0]
+        score = array("f", [0.0])  # sums are rounded to 32 bits, as the library's are
+        sums = array("f", [0.0])
         pieces, tails, pairs, keeps, bpe, floor = self.score, self.tails, self.pairs, self._keeps, self.bpe, self.floor
         before = ""
         for word in words:
@@ -115,13 +116,16 @@ class PieceModel:
                         piece = word[begin:end]
                     last.append(piece)
                 else:
-                    best, found = score[begin] + pieces.get(piece, floor), piece
+                    sums[0] = score[begin] + pieces.get(piece, floor)
+                    best, found = sums[0], piece
                     while begin and piece in tails:
                         begin -= 1
                         piece = word[begin:end]
                         s = pieces.get(piece)
-                        if s is not None and score[begin] + s > best:
-                            best, found = score[begin] + s, piece
+                        if s is not None:
+                            sums[0] = score[begin] + s
+                            if sums[0] >= best:  # of equal sums, that of the longer last piece
+                                best, found = sums[0], piece
                     last.append(found)
                     score.append(best)
             before, out, at = word, [], len(word)
