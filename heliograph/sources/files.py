@@ -141,7 +141,7 @@ def slice_items(flat: DataFrame, item: str, size: int) -> DataFrame:
     counts = counts.join(F.broadcast(parts), "part").select("batch_id", (F.coalesce("before", F.lit(0)) + F.coalesce("inside", F.lit(0))).alias("before"))
     own = Window.partitionBy("batch_id").orderBy("r", "s", "i")
     rows = rows.withColumn("k", F.row_number().over(own) - 1).join(counts, "batch_id").withColumn("place", F.col("before") + F.col("k"))
-    rows = rows.withColumn("batch_id", F.floor(F.col("place") / size).cast("long"))
+    rows = nesting.by_batch(rows.withColumn("batch_id", F.floor(F.col("place") / size).cast("long")))
     rows = rows.withColumns({"rk": resource_key("resource", "resource_url"), "sk": scope_key("scope", "scope_url")})
     # Resources and scopes are numbered by their first item.
     of_r, of_s = Window.partitionBy("batch_id", "rk"), Window.partitionBy("batch_id", "rk", "sk")

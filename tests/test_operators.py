@@ -14,6 +14,7 @@ from heliograph.functions import cbor, json_forms
 from heliograph.functions.scalars import data_point_signature, encipher, obfuscate, reveal, severity_number, signature
 from heliograph.operators import adaptive, analysis, attributes, canonical, codec, compare, encoding, metrics, nesting, obfuscation, orders, stats
 from heliograph.operators import sizes as sizes_
+from heliograph.plans.registry import QUERIES
 from heliograph.sources import generate, ipc, wire
 from heliograph.sources.files import FileConfig, data_model, first_time, multivariate, read_chunks, read_csv_logs, read_json_lines, read_requests, show_records, slice_items, write_json_lines, write_requests
 from heliograph.streaming import replay
@@ -362,6 +363,25 @@ def test_slices(spark):
     assert canonical.equivalent(made, back, "traces", strict=True)
 
 
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("ENSURE_REQUIREMENTS")
+
+
+@pytest.mark.parametrize("name", ["span_attr_join", "event_attr_join", "span_event_join", "resource_attr_join", "renest_logs", "batch_levels"])
+def test_batches_stay_together(spark, name):
+    """Tables of a batch are nested, grouped and joined where the batch is."""
+    assert _shuffles(QUERIES[name](spark, "/root/testdata/sf0.001")) == 0
+
+
+def test_difference_makes_each_side_once(spark):
+    a = spark.createDataFrame([(1, None), (1, None), (2, "x"), (4, "y")], "k int, v string")
+    b = spark.createDataFrame([(1, None), (3, "x"), (4, "y"), (4, "y")], "k int, v string")
+    plain, strict = compare.difference(a, b), compare.difference(a, b, strict=True)
+    assert sorted(map(tuple, plain.collect())) == [(2, "x", "missing"), (3, "x", "unexpected")]
+    assert sorted(map(str, map(tuple, strict.collect()))) == sorted(map(str, [(1, None, "missing"), (2, "x", "missing"), (3, "x", "unexpected"), (4, "y", "unexpected")]))
+    assert _shuffles(plain) == _shuffles(strict) == 1
+
+
 def test_multivariate(spark, tmp_path):
     entries = [{"Ts": 1, "source_id": "a", "Evt": {"Timestamp": 5, "Tags": {"h": "x", "metric": "no"}, "Fields": {"f": 1, "e": 2}}}, {"Ts": 2, "source_id": "a", "Evt": {"Timestamp": 6, "Tags": {}, "Fields": {"f": 3}}}, {"Ts": 2, "source_id": "b", "Evt": {"Timestamp": 6, "Tags": None, "Fields": {}}}]
     (tmp_path / "m.json").write_text(json.dumps(entries, indent=1))
