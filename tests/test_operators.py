@@ -367,12 +367,17 @@ def _shuffles(df):
     return df._jdf.queryExecution().executedPlan().toString().count("ENSURE_REQUIREMENTS")
 
 
-@pytest.mark.parametrize("name", ["span_attr_join", "event_attr_join", "span_event_join", "resource_attr_join", "renest_logs", "batch_levels"])
+@pytest.mark.parametrize("name", ["span_attr_join", "event_attr_join", "span_event_join", "resource_attr_join", "renest_logs"])
 def test_batches_stay_together(spark, name):
     """Tables of a batch are nested, grouped and joined where the batch is."""
     assert _shuffles(QUERIES[name](spark, "/root/testdata/sf0.001")) == 0
 
 
+def test_interval_counts_repeat_no_rows(spark):
+    plan = QUERIES["time_interval_stats"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+
+
 def test_difference_makes_each_side_once(spark):
     a = spark.createDataFrame([(1, None), (1, None), (2, "x"), (4, "y")], "k int, v string")
     b = spark.createDataFrame([(1, None), (3, "x"), (4, "y"), (4, "y")], "k int, v string")
