@@ -15,7 +15,7 @@ from heliograph.functions.scalars import data_point_signature, encipher, obfusca
 from heliograph.operators import adaptive, analysis, attributes, canonical, codec, compare, encoding, metrics, nesting, obfuscation, orders, stats
 from heliograph.operators import sizes as sizes_
 from heliograph.plans.registry import QUERIES
-from heliograph.sources import generate, ipc, wire
+from heliograph.sources import buckets, generate, ipc, wire
 from heliograph.sources.files import FileConfig, data_model, first_time, multivariate, read_chunks, read_csv_logs, read_json_lines, read_requests, show_records, slice_items, write_json_lines, write_requests
 from heliograph.streaming import replay
 
@@ -373,6 +373,11 @@ def test_batches_stay_together(spark, name):
     assert _shuffles(QUERIES[name](spark, "/root/testdata/sf0.001")) == 0
 
 
+@pytest.mark.parametrize("name", ["dp_attr_join", "exemplar_attr_join", "span_attr_join", "span_event_join", "renest_traces"])
+def test_joins_on_places_send_nothing_to_the_driver(spark, name):
+    assert "Broadcast" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_interval_counts_repeat_no_rows(spark):
     plan = QUERIES["time_interval_stats"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan
