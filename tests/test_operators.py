@@ -378,6 +378,13 @@ def test_joins_on_places_send_nothing_to_the_driver(spark, name):
     assert "Broadcast" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_decoded_tables_can_be_kept(spark):
+    """A sort holds a page of memory at least, so that one stage can't hold those of all tables."""
+    names = []
+    encoding.decode(encoding.encode(generate.generate_traces(spark, 1, 2, 1), "traces"), "traces", keep=lambda df, name: names.append(name) or df)
+    assert names == ["spans", "span_attrs", "events", "event_attrs", "links", "link_attrs"]
+
+
 def test_parts_grow_with_the_rows(spark, monkeypatch):
     rows = spark.range(3000).select((F.col("id") % 50).alias("batch_id"), "id")
     monkeypatch.setattr(nesting, "PART_BYTES", 4096)
