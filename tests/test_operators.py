@@ -35,6 +35,13 @@ def test_flattened_items_carry_no_lists(spark):
     assert len(held) == 1 and "logs:array" not in held[0]
 
 
+def test_tables_are_measured_where_their_batches_are(spark):
+    made = nesting.by_batch(generate.generate_traces(spark, 6, 5, 1, random=True))
+    measured = sizes_.table_sizes(made, "traces")
+    by_number = [n for n in _nodes(measured._jdf.queryExecution().sparkPlan()) if n.nodeName() == "Exchange" and "REPARTITION_BY_COL" in n.toString().split("\n")[0]]
+    assert not by_number and measured.count() == 6
+
+
 def test_group_delta_round_trip(spark):
     rows = [(b, k, (i * 37 + b * 11) % 70000) for b in range(3) for k in ("a", "b", None) for i in range(40)]
     df = spark.createDataFrame(rows, "batch int, key string, parent long").withColumn("rn", F.row_number().over(codec.window(["batch"], ["key", "parent"])))
